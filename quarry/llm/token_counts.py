@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import partitions, written
+from quarry.llm.shared import partitions
 from quarry.llm.vocabulary import default_path, pre_tokens, special_ids, tokenizer
 
 #: A block ends with the Arrow batch in which its text passes this many bytes.
@@ -46,13 +47,14 @@ class _Numbered(dict):
         return n
 
 
-def _packed_rows(block: int, docs: list, sizes: list[int], tokens: list[np.ndarray], names: list[str], known: int) -> Iterator[pa.RecordBatch]:
+def _packed_rows(place: int, docs: list, sizes: list[int], tokens: list[np.ndarray], names: list[str], known: int) -> Iterator[pa.RecordBatch]:
     """The block's header (ids, bytes, counts so far), then a row for each other pre-token."""
     doc = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
     token = np.concatenate(tokens) if tokens else np.array([], np.int64)
     base = np.bincount(doc[token < known], minlength=len(tokens)).astype("<i8")
     ids = np.array([0 if x is None else x for x in docs], "<i8")
     header = np.concatenate([ids, np.array([x is None for x in docs], "<i8"), np.array(sizes, "<i8"), base]).tobytes()
+    block = xxhash.xxh64_intdigest(header, seed=place) >> 1  # a block that is made again of other rows is another one
     yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([block], pa.int64()), pa.array([header], pa.binary())], ["key", "block", "payload"])
     other = token >= known
     pair, n = np.unique((token[other] - known) * len(tokens) + doc[other], return_counts=True)
@@ -151,9 +153,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
     rows like any other; an empty table gives none; other columns are not read.
     """
     path = path or default_path()
-    # the blocks' rows are written, so that sums and headers meet whatever is computed again
-    rows = written(frequencies(docs, path), "frequencies")
-    sums = piece_sums(rows, path)
+    sums = piece_sums(frequencies(docs, path), path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, header, totals = None, None, None
@@ -173,6 +173,8 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
                 if payload[:1] == b"\0":
                     header = np.frombuffer(payload[1:], "<i8").reshape(4, -1)
                     totals = np.zeros(header.shape[1], np.int64)
+                elif header is None:
+                    raise RuntimeError("rows of a block changed while it was computed again; write the input to a table first")
                 else:
                     entry = np.frombuffer(payload[1:], ENTRY)
                     totals[entry["doc"]] += entry["n"]
