@@ -18,14 +18,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import written
+from quarry.llm.shared import partitions, written
 
 WINDOW = 50
-#: Candidate documents of a shard.
-SHARD_DOCS = 800
+#: Documents of a shard; those that hold no recurring anchor are done before their shard is looked at.
+SHARD_DOCS = 2000
+#: Windows that are held before they are handed on.
+HELD = 2_000_000
 #: Distinct words whose hashes a task keeps.
 KEPT = 300_000
 _BASE = 0x9E3779B97F4A7C15
@@ -104,8 +106,12 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def split_documents(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Documents without a recurring anchor, done; the others with their text and those anchors."""
+def shard_of(shards: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")
+
+
+def split_documents(docs: DataFrame, hits: DataFrame, shards: int) -> DataFrame:
+    """Documents without a recurring anchor, done; the others with their text and those anchors. Shard by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,33 +122,41 @@ def split_documents(docs: DataFrame, hits: DataFrame) -> DataFrame:
                 n.append(len(words))
                 sha.append(None if open_ else _sha(words))
             text = pa.array([x if open_ else None for x, open_ in zip(batch.column(1).to_pylist(), hit.to_pylist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), text, batch.column(2)], ["doc_id", "n_words", "kept_sha256", "text", "anchors"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), text, batch.column(2), batch.column(3)], ["doc_id", "n_words", "kept_sha256", "text", "anchors", "shard"])
 
-    joined = _binary_text(docs).join(hits, "doc_id", "left").select("doc_id", "text", "anchors")
-    return joined.mapInArrow(run, "doc_id long, n_words long, kept_sha256 string, text binary, anchors array<long>")
+    keyed = _binary_text(docs).withColumn("shard", shard_of(shards)).repartition(partitions(docs.sparkSession), "shard")
+    joined = keyed.join(hits, ["shard", "doc_id"], "left").sortWithinPartitions("shard").select("doc_id", "text", "anchors", "shard")
+    return joined.mapInArrow(run, "doc_id long, n_words long, kept_sha256 string, text binary, anchors array<long>, shard long")
 
 
 def candidate_windows(candidates: DataFrame, window: int) -> DataFrame:
-    """(hash, shard, least, most): windows with a recurring anchor, with the smallest and largest id in a batch."""
+    """(hash, shard, least, most): windows with a recurring anchor, with the smallest and largest id that has them.
+
+    Candidates are stored shard by shard, so a window that all documents hold is about one row for each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, found, of, at, held = WordHashes(), [], [], None, 0
+
+        def counted() -> pa.RecordBatch:
+            x, ids = np.concatenate(found), np.concatenate(of)
+            order = np.lexsort((ids, x))
+            x, ids = x[order], ids[order]
+            first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.array([], np.int64)
+            last = np.r_[first[1:] - 1, len(x) - 1] if len(first) else first
+            return pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)), pa.array(np.full(len(first), at)), pa.array(ids[first]), pa.array(ids[last])], ["hash", "shard", "least", "most"])
+
         for batch in batches:
-            found, of, shards = [], [], []
             for doc, x, shard, anchor in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                h = hashes.of(_words(x))
+                if found and (shard != at or held > HELD):
+                    yield counted()
+                    found, of, held = [], [], 0
+                h, at = hashes.of(_words(x)), shard
                 met = np.isin(anchors(h, window), anchor.values.to_numpy().view(np.uint64))
                 found.append(np.unique(runs(h, window)[met]))
                 of.append(np.full(len(found[-1]), doc, np.int64))
-                shards.append(np.full(len(found[-1]), shard, np.int64))
-            if not found:
-                continue
-            found, of, shards = (np.concatenate(a) for a in (found, of, shards))
-            order = np.lexsort((of, shards, found))
-            found, of, shards = found[order], of[order], shards[order]
-            first = np.flatnonzero(np.r_[True, (found[1:] != found[:-1]) | (shards[1:] != shards[:-1])]) if len(found) else np.array([], np.int64)
-            last = np.r_[first[1:] - 1, len(found) - 1] if len(first) else first
-            yield pa.RecordBatch.from_arrays([pa.array(found[first].view(np.int64)), pa.array(shards[first]), pa.array(of[first]), pa.array(of[last])], ["hash", "shard", "least", "most"])
+                held += len(found[-1])
+        if found:
+            yield counted()
 
     return candidates.select("doc_id", "text", "shard", "anchors").mapInArrow(run, "hash long, shard long, least long, most long")
 
@@ -236,15 +250,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     takes none from others. Rows that share a doc_id take nothing from each other. An empty table gives no rows; other
     columns are not read.
     """
+    n = partitions(docs.sparkSession)
+    shards = max(1, -(-docs.select("doc_id").count() // SHARD_DOCS))
     met = written(document_anchors(docs, window), "anchors")
     recurring = met.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    hits = met.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    split = written(split_documents(docs, hits), "split")
+    hits = met.join(recurring, "anchor").select(shard_of(shards), "doc_id", "anchor").repartition(n, "shard").groupBy("shard", "doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    split = written(split_documents(docs, hits, shards), "split")
     done = split.where(F.col("text").isNull()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     candidates = split.where(F.col("text").isNotNull())
-    shards = max(1, -(-candidates.select("doc_id").count() // SHARD_DOCS))
-    candidates = candidates.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    seen = candidate_windows(candidates, window).groupBy("hash", "shard").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    # both groupings stand on one exchange by the window
+    seen = candidate_windows(candidates, window).repartition(n, "hash").groupBy("hash", "shard").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     by_window = seen.groupBy("hash").agg(F.min("least").alias("owner"), F.collect_list(F.struct("shard", "most")).alias("shards"))
     routes = by_window.select("hash", "owner", F.explode(F.filter("shards", lambda x: x["most"] > F.col("owner")))).select("owner", F.col("col.shard").alias("shard"), "hash")
     wanted = routes.groupBy("owner", "shard").agg(F.collect_list("hash").alias("wanted"))
