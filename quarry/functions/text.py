@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Word characters as both Spark and an ANSI engine's RE2 see them (their \w is ASCII only).
 WORD = r"[\p{L}\p{N}_]"
@@ -21,7 +22,7 @@ CJK = r"\u3040-\u309f\u30a0-\u30ff\u3100-\u312f\u31a0-\u31bf\u3400-\u4dbf\u4e00-
 MODES = ("plain", "code", "cjk")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility composition; Spark has no function for it."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))

@@ -344,7 +344,7 @@ def _golds(spark, sf_dir):
 
     def runs(words):
         shifted = [words, *(F.slice(words, k + 1, F.size(words)) for k in range(1, 5))]
-        return F.array_distinct(F.transform(F.arrays_zip(*(x.alias(f"w{k}") for k, x in enumerate(shifted))), lambda x: F.concat_ws(" ", *(x[str(k)] for k in range(5)))))
+        return F.array_distinct(F.transform(F.arrays_zip(*(x.alias(f"w{k}") for k, x in enumerate(shifted))), lambda x: F.concat_ws(" ", *(x[f"w{k}"] for k in range(5)))))
 
     asked_ = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("wanted"), F.array_join(F.slice(split("text"), 2, 5), " ").alias("run"))
     docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
