@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.functions.text import first_sentence, heading_text, is_heading, lines, strip, suffix, title
+from quarry.functions.text import first_sentence, strip, suffix
 
 PROSE = (".md", ".markdown", ".txt", ".rst")
 CONFIG = (".yaml", ".yml", ".toml", ".json", ".ini", ".cfg", ".tf", ".tfvars", ".hcl")
@@ -19,8 +22,8 @@ LANGUAGES = {
     ".kt": "kotlin", ".scala": "scala", ".swift": "swift", ".lua": "lua", ".sh": "bash", ".bash": "bash",
 }
 
-PARAGRAPH = "struct<heading:string,text:string,first:int,last:int,heading_line:int>"
-CHUNK = "struct<heading:string,text:string,start_line:int,end_line:int>"
+_MARKED = re.compile(r"#{1,6}\s+(?=\S)")
+_LABEL = re.compile(r"[A-Z][A-Za-z ]+:")
 
 
 @dataclass(frozen=True)
@@ -54,74 +57,100 @@ def language(path: Column) -> Column:
     return out
 
 
-def paragraphs(line_array: Column) -> Column:
-    """Paragraphs of an array of lines: runs of lines, stripped and joined by spaces, that a blank line or heading ends."""
-    start = F.struct(
-        F.array().cast(f"array<{PARAGRAPH}>").alias("done"), F.array().cast("array<string>").alias("held"), F.lit("").alias("heading"),
-        F.lit(None).cast("int").alias("heading_line"), F.lit(0).alias("first"), F.lit(0).alias("n"),
-    )
-
-    def flushed(s: Column) -> Column:
-        para = F.struct(s["heading"].alias("heading"), F.array_join(s["held"], " ").alias("text"), s["first"].alias("first"), s["n"].alias("last"), s["heading_line"].alias("heading_line"))
-        return F.when(F.size(s["held"]) > 0, F.concat(s["done"], F.array(para))).otherwise(s["done"])
-
-    none = F.array().cast("array<string>")
-
-    def step(s: Column, line: Column) -> Column:
-        n = s["n"] + 1
-        bare = strip(line)
-        heading, blank = is_heading(line), bare == ""
-        return F.struct(
-            F.when(heading | blank, flushed(s)).otherwise(s["done"]).alias("done"),
-            F.when(heading | blank, none).otherwise(F.concat(s["held"], F.array(bare))).alias("held"),
-            F.when(heading, heading_text(line)).otherwise(s["heading"]).alias("heading"),
-            F.when(heading, n).otherwise(s["heading_line"]).alias("heading_line"),
-            F.when(F.size(s["held"]) == 0, n).otherwise(s["first"]).alias("first"),
-            n.alias("n"),
-        )
-
-    return F.aggregate(line_array, start, step, flushed)
-
-
-def folded(paras: Column, target: Column) -> Column:
-    """Chunks of paragraphs: a chunk ends where the heading changes, or where the next paragraph would pass the target."""
-    start = F.struct(
-        F.array().cast(f"array<{CHUNK}>").alias("done"), F.array().cast("array<string>").alias("held"), F.lit(0).alias("size"),
-        F.lit(None).cast("string").alias("heading"), F.lit(0).alias("first"), F.lit(0).alias("last"),
-    )
-
-    def flushed(s: Column) -> Column:
-        chunk = F.struct(s["heading"].alias("heading"), F.array_join(s["held"], " ").alias("text"), s["first"].alias("start_line"), s["last"].alias("end_line"))
-        return F.when(F.size(s["held"]) > 0, F.concat(s["done"], F.array(chunk))).otherwise(s["done"])
-
-    def step(s: Column, p: Column) -> Column:
-        size = F.length(p["text"])
-        turn = s["heading"].isNull() | (s["heading"] != p["heading"])
-        full = ~turn & (s["size"] + size > target) & (F.size(s["held"]) > 0)
-        new = turn | full
-        return F.struct(
-            F.when(new, flushed(s)).otherwise(s["done"]).alias("done"),
-            F.when(new, F.array(p["text"])).otherwise(F.concat(s["held"], F.array(p["text"]))).alias("held"),
-            F.when(new, size).otherwise(s["size"] + size).alias("size"),
-            p["heading"].alias("heading"),
-            F.when(turn, F.coalesce(p["heading_line"], p["first"])).when(full, p["first"]).otherwise(s["first"]).alias("first"),
-            p["last"].alias("last"),
-        )
-
-    return F.aggregate(paras, start, step, flushed)
+@dataclass(frozen=True)
+class Paragraph:
+    """A run of lines under a heading; heading_line is where that heading stands, if there is one."""
+
+    heading: str
+    text: str
+    first: int
+    last: int
+    heading_line: int | None
+
+
+def heading_of(bare: str) -> str | None:
+    """The text of a heading line, or None: Markdown marks, or letters and spaces from a capital to a final colon."""
+    if m := _MARKED.match(bare):
+        return bare[m.end() :].strip()
+    return bare[:-1].strip() if _LABEL.fullmatch(bare) else None
+
+
+def paragraphs_of(line_list: list[str]) -> Iterator[Paragraph]:
+    """Paragraphs of lines: runs of lines, stripped and joined by spaces, that a blank line or heading ends."""
+    heading, heading_line, held, first = "", None, [], 0
+    for n, line in enumerate([*line_list, ""], 1):
+        bare = line.strip()
+        found = heading_of(bare) if bare else None
+        if bare and found is None:
+            first = first if held else n
+            held.append(bare)
+            continue
+        if held:
+            yield Paragraph(heading, " ".join(held), first, n - 1, heading_line)
+            held = []
+        if found is not None:
+            heading, heading_line = found, n
+
+
+def chunks_of(text: str, target: int) -> list[tuple[str, str, int, int]]:
+    """(heading, text, first line, last line): a chunk ends where the heading changes, or where one more paragraph would
+    take it past the target. A paragraph is never cut; blank texts have no chunk, headings alone are one."""
+    line_list = text.splitlines()
+    if not text.strip():
+        return []
+    out, held, size = [], [], 0
+
+    def close() -> None:
+        if held:
+            out.append((held[0][1].heading, " ".join(p.text for _, p in held), held[0][0], held[-1][1].last))
+
+    for p in paragraphs_of(line_list):
+        turn = not held or held[-1][1].heading != p.heading
+        if turn or size + len(p.text) > target:
+            close()
+            held, size = [], 0
+        start = p.first if not turn or p.heading_line is None else p.heading_line
+        held.append((start, p))
+        size += len(p.text)
+    close()
+    return out or [("", text.strip(), 1, len(line_list))]
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, heading, text, first, last, heading_line) of docs(doc_id, text)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(doc, p) for doc, x in zip(batch.column(0), batch.column(1), strict=True) for p in paragraphs_of((x.as_py() or "").splitlines())]
+            fields = [pa.array([getattr(p, f) for _, p in rows], t) for f, t in (("heading", pa.string()), ("text", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("heading_line", pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array([d.as_py() for d, _ in rows], batch.column(0).type), *fields], ["doc_id", "heading", "text", "first", "last", "heading_line"])
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, heading string, text string, first int, last int, heading_line int")
 
 
 def chunks(docs: DataFrame, target: Column | int = 400) -> DataFrame:
     """(id, doc_id, doc_title, heading, text, position, start_line, end_line) of docs(doc_id, text).
 
-    A text of blanks has no chunk; one of headings only is one chunk of the whole text. A paragraph is never cut."""
-    target = F.lit(target) if isinstance(target, int) else target
-    split = docs.where(F.coalesce(strip(F.col("text")), F.lit("")) != "").select("doc_id", "text", lines(F.col("text")).alias("lines"), target.cast("int").alias("target"))
-    paras = split.withColumn("paras", paragraphs(F.col("lines")))
-    whole = F.array(F.struct(F.lit("").alias("heading"), strip(F.col("text")).alias("text"), F.lit(1).alias("start_line"), F.size("lines").alias("end_line")))
-    made = paras.withColumn("chunks", F.when(F.size("paras") > 0, folded(F.col("paras"), F.col("target"))).otherwise(whole.cast(f"array<{CHUNK}>")))
-    out = made.select("doc_id", title(F.col("lines"), F.col("doc_id").cast("string")).alias("doc_title"), F.posexplode("chunks"))
-    return out.select(F.concat_ws("_", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("id"), "doc_id", "doc_title", "col.heading", "col.text", F.col("pos").alias("position"), "col.start_line", "col.end_line")
+    A text of blanks, or null, has no chunk; one of headings only is one chunk of the whole text. A paragraph is never cut.
+    The fold keeps state from line to line, so it is one pass in Python over Arrow batches."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["id", "doc_id", "doc_title", "heading", "text", "position", "start_line", "end_line"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, x, most in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                text = x.as_py() or ""
+                name = next((b for b in map(str.strip, text.splitlines()) if b), str(doc))
+                rows += [(f"{doc}_{k}", doc, name, h, t, k, a, b) for k, (h, t, a, b) in enumerate(chunks_of(text, most))]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            types = [pa.string(), batch.column(0).type, pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    size = F.lit(target) if isinstance(target, int) else target
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), size.cast("int").alias("target"))
+    return rows.mapInArrow(run, f"id string, doc_id {kind}, doc_title string, heading string, text string, position int, start_line int, end_line int")
 
 
 def contextualised(chunk_rows: DataFrame) -> DataFrame:

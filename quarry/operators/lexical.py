@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
+from quarry.sources.scratch import stored
 
 #: Scores are compared as rounded to this many places, so that no order of summing shows.
 PLACES = 9
@@ -56,8 +57,9 @@ def bm25_idf(df: Column, n_docs: Column) -> Column:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings(term, doc_idx, tf, dl, df, w): w is the TF-IDF weight in the document's unit vector. n_docs, avgdl: of the
-    whole corpus. docs: the corpus."""
+    """postings(term, doc_idx, tf, dl[, df, w]): df is the term's number of documents, w the TF-IDF weight in the
+    document's unit vector; both are there if the index was built with weights. n_docs, avgdl: of the whole corpus.
+    docs: the corpus."""
 
     docs: DataFrame
     postings: DataFrame
@@ -67,15 +69,24 @@ class LexicalIndex:
 
     @classmethod
     def of(cls, docs: DataFrame, mode: str = "plain", weights: bool = True) -> LexicalIndex:
-        n_docs, avgdl = corpus_stats(docs, mode).first()
-        tf = term_frequencies(docs, mode)
-        known = tf.join(document_frequencies(tf), "term")
-        if weights:
-            raw = known.withColumn("raw", (1 + F.log("tf")) * tfidf_idf(F.col("df"), F.lit(n_docs)))
-            norms = raw.groupBy("doc_idx").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-            known = raw.join(norms, "doc_idx").select("term", "doc_idx", "tf", "dl", "df", F.when(F.col("norm") > 0, F.col("raw") / F.col("norm")).otherwise(F.col("raw")).alias("w"))
+        """Texts are tokenized once, into a stored table of term frequencies; all else is aggregated from that."""
+        tf = stored(term_frequencies(docs, mode), "terms")
+        n_docs, total = docs.count(), tf.agg(F.sum("tf")).first()[0] or 0
+        avgdl = total / n_docs if total else 1.0
+        if not weights:
+            return cls(docs, tf, n_docs, avgdl, mode)
+        raw = tf.join(document_frequencies(tf), "term").withColumn("raw", (1 + F.log("tf")) * tfidf_idf(F.col("df"), F.lit(n_docs)))
+        norms = raw.groupBy("doc_idx").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+        known = raw.join(norms, "doc_idx").select("term", "doc_idx", "tf", "dl", "df", F.when(F.col("norm") > 0, F.col("raw") / F.col("norm")).otherwise(F.col("raw")).alias("w"))
         return cls(docs, known, n_docs, avgdl, mode)
 
+    def met(self, terms: DataFrame) -> DataFrame:
+        """The postings of the query terms (query_id, term, ...), with df. Terms are looked up before they are counted, so
+        an index without weights reads only what the queries ask for."""
+        asked = self.postings.join(terms.select("term").distinct(), "term") if "df" not in self.postings.columns else self.postings
+        known = asked if "df" in asked.columns else asked.join(document_frequencies(asked), "term")
+        return known.join(terms, "term")
+
 
 def query_terms(queries: DataFrame, mode: str = "plain") -> DataFrame:
     """(query_id, term, qtf, qw) of queries(query_id, query): qw is the weight in the query's unit vector, without IDF;
@@ -87,7 +98,7 @@ def query_terms(queries: DataFrame, mode: str = "plain") -> DataFrame:
 
 def bm25_scores(index: LexicalIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_idx, score) of the documents that share a term with a query; a repeated term counts once."""
-    met = index.postings.join(query_terms(queries, index.mode).select("query_id", "term"), "term")
+    met = index.met(query_terms(queries, index.mode).select("query_id", "term"))
     tf = F.col("tf")
     part = bm25_idf(F.col("df"), F.lit(index.n_docs)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl)))
     return met.groupBy("query_id", "doc_idx").agg(F.round(F.sum(part), PLACES).alias("score"))
@@ -95,13 +106,13 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame, k1: float = 1.5, b: flo
 
 def tfidf_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """(query_id, doc_idx, score): cosine of query and document."""
-    met = index.postings.join(query_terms(queries, index.mode), "term")
+    met = index.met(query_terms(queries, index.mode))
     return met.groupBy("query_id", "doc_idx").agg(F.round(F.sum(F.col("qw") * F.col("w")), PLACES).alias("score"))
 
 
 def lexical_scores(index: LexicalIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_idx, tfidf, bm25) from one pass over the postings."""
-    met = index.postings.join(query_terms(queries, index.mode), "term")
+    met = index.met(query_terms(queries, index.mode))
     tf = F.col("tf")
     part = bm25_idf(F.col("df"), F.lit(index.n_docs)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl)))
     return met.groupBy("query_id", "doc_idx").agg(F.round(F.sum(F.col("qw") * F.col("w")), PLACES).alias("tfidf"), F.round(F.sum(part), PLACES).alias("bm25"))
@@ -147,7 +158,7 @@ def lexical_search(index: LexicalIndex, queries: DataFrame, k: int, k1: float =
     arms = ranked(ranked(scores, "tfidf", "t"), "bm25", "m")
     fused = arms.withColumn("score", F.lit(1.0) / (RRF_K + 1 + F.col("t")) + F.lit(1.0) / (RRF_K + 1 + F.col("m")))
     best = fused.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "t")) - 1).where(F.col("rank") < k)
-    filled = zero_filled(best, index.docs, queries, k)
+    filled = zero_filled(stored(best, "fused"), index.docs, queries, k)
     return filled.withColumn("score", F.when(F.col("score") > 0, F.col("score")).otherwise(2.0 / (RRF_K + 1 + F.col("rank"))))
 
 

@@ -394,7 +394,7 @@ def _page(spark: SparkSession) -> DataFrame:
 
 @query("SELECT * FROM (VALUES ('', 'Networks', 1, 1), ('Routing', 'Packets find their way. Hop by hop.', 4, 5), ('Routing', 'Second paragraph here.', 7, 7), ('Switching', 'Frames move.', 9, 9)) AS t(heading, text, first, last)")
 def chunk_paragraphs(spark, sf_dir):
-    return _page(spark).select(F.inline(chunking.paragraphs(T.lines(F.col("text"))))).select("heading", "text", "first", "last")
+    return chunking.paragraphs(_page(spark)).select("heading", "text", "first", "last")
 
 
 @query("SELECT * FROM (VALUES ('net_0', 'Networks', '', 'Networks', 0, 1, 1), ('net_1', 'Networks', 'Routing', 'Packets find their way. Hop by hop.', 1, 3, 5), ('net_2', 'Networks', 'Routing', 'Second paragraph here.', 2, 7, 7), ('net_3', 'Networks', 'Switching', 'Frames move.', 3, 8, 9)) AS t(id, doc_title, heading, text, position, start_line, end_line)")

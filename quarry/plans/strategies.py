@@ -17,6 +17,7 @@ from quarry.operators.chunking import breadcrumb, enriched
 from quarry.operators.consolidation import consolidate
 from quarry.operators.dense import dense_search, hybrid_search, normalised, quantised
 from quarry.operators.lexical import LexicalIndex, bm25_scores, candidate_pool, lexical_search, top
+from quarry.sources.scratch import stored
 
 UNIT = ("docid", "source_path", "start_line", "end_line", "context", "metadata")
 #: Gives (doc_idx, vector) for (doc_idx, text); an embedding model is the caller's own.
@@ -26,15 +27,17 @@ Embedder = Callable[[DataFrame], DataFrame]
 def ordered(docs: DataFrame) -> DataFrame:
     """docs with doc_idx from 0 in the order of path parts, lines and docid.
 
-    Ranks come from a range sort and running counts of its parts, so no task holds the whole corpus."""
-    keyed = docs.withColumn("__k", F.struct(F.split("source_path", "/").alias("p"), F.coalesce("start_line", F.lit(0)).alias("s"), F.coalesce("end_line", F.lit(0)).alias("e"), F.col("docid").alias("d")))
-    parts = keyed.repartitionByRange("__k").sortWithinPartitions("__k").withColumn("__p", F.spark_partition_id()).localCheckpoint() if False else keyed.withColumn("__p", F.xxhash64("source_path"))
-    # files are kept together: a file's rank by path, then the rows of each file in their order
-    files = parts.groupBy("source_path").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.orderBy(F.split("source_path", "/")).rowsBetween(W.unboundedPreceding, -1)
-    starts = files.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = F.row_number().over(W.partitionBy("source_path").orderBy("__k")) - 1
-    return parts.join(starts, "source_path").withColumn("doc_idx", (F.col("__start") + inside).cast("long")).drop("__k", "__p", "__start")
+    A range sort deals rows to parts, stored once; a row's place is its place in its part after the counts of the parts
+    before it, a number for each part."""
+    key = F.struct(F.split("source_path", "/").alias("p"), F.coalesce("start_line", F.lit(0)).alias("s"), F.coalesce("end_line", F.lit(0)).alias("e"), F.col("docid").alias("d"))
+    parts = stored(docs.withColumn("__k", key).repartitionByRange("__k").withColumn("__part", F.spark_partition_id()), "ordered")
+    before, starts = 0, []
+    for part, n in sorted(map(tuple, parts.groupBy("__part").count().collect())):
+        starts.append((part, before))
+        before += n
+    place = F.row_number().over(W.partitionBy("__part").orderBy("__k")) - 1
+    offsets = docs.sparkSession.createDataFrame(starts, "__part int, __start long")
+    return parts.join(F.broadcast(offsets), "__part").withColumn("doc_idx", (F.col("__start") + place).cast("long")).drop("__k", "__part", "__start")
 
 
 class Retriever(Protocol):

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quarry.operators.lexical import LexicalIndex, document_frequencies, term_frequencies
+from quarry.operators.lexical import LexicalIndex, term_frequencies
 
 
 def follow(documents: DataFrame, folder: str, checkpoint: str, mode: str = "plain") -> StreamingQuery:
@@ -33,5 +33,6 @@ def opened(spark: SparkSession, folder: str, mode: str = "plain") -> LexicalInde
     last = W.partitionBy("doc_idx")
     docs = stored.withColumn("__last", F.max("batch").over(last)).where("batch = __last").select("doc_idx", "docid", "text", "batch")
     postings = spark.read.parquet(f"{folder}/postings").join(docs.select("doc_idx", "batch"), ["doc_idx", "batch"], "left_semi").select("doc_idx", "term", "tf", "dl")
-    base = LexicalIndex.of(docs.select("doc_idx", "docid", "text"), mode, weights=False)
-    return LexicalIndex(base.docs, postings.join(document_frequencies(postings), "term"), base.n_docs, base.avgdl, mode)
+    current = docs.select("doc_idx", "docid", "text")
+    n_docs, total = current.count(), postings.agg(F.sum("tf")).first()[0] or 0
+    return LexicalIndex(current, postings, n_docs, total / n_docs if total else 1.0, mode)
