@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions.text import unit
 from quarry.operators.lexical import LexicalIndex, candidate_pool, lexical_search, reciprocal_rank_fusion
@@ -28,6 +29,7 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     ids = [r["query_id"] for r in rows]
     q = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
     kind = queries.schema["query_id"].dataType
+    arrow = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -40,7 +42,7 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 scores = np.round(x @ q[s : s + QUERY_BLOCK].T, PLACES)
                 for j in range(scores.shape[1]):
                     best = np.lexsort((idx, -scores[:, j]))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[s + j]] * len(best)), pa.array(idx[best]), pa.array(scores[best, j])], ["query_id", "doc_idx", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[s + j]] * len(best), arrow), pa.array(idx[best]), pa.array(scores[best, j])], ["query_id", "doc_idx", "score"])
 
     near = vectors.select(F.col("doc_idx").cast("long").alias("doc_idx"), "vector").mapInArrow(run, f"query_id {kind.simpleString()}, doc_idx long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_idx")
