@@ -97,7 +97,11 @@ def rate(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("double")).alias("label"))
     rows = written(features(docs, host, path).join(known, "doc_id", "left").select("doc_id", "host", "path", "x", "label"), "features")
-    sample = rows.where(F.col("label").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("x", "label").toPandas()
+    labelled = rows.where(F.col("label").isNotNull())
+    # hashes so low that about 1.5 times the wanted rows have one: no task hands on more than its share of these
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    low = int((1 << 32) * min(1.0, 1.5 * fit_rows / max(1, labelled.count())))
+    sample = labelled.where(place < low).orderBy(place, "doc_id").limit(fit_rows).select("x", "label").toPandas()
     x = np.array(sample["x"].tolist()).reshape(len(sample), len(FEATURES))
     w, intercept = fit(x, sample["label"].to_numpy(float))
     base = (float(sample["label"].sum()) + 1) / (len(sample) + 2)
