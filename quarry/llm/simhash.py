@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import similar
 from quarry.llm.components import components
 from quarry.llm.shared import partitions, written
 
@@ -188,6 +189,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their group of near-duplicates, with their columns as they were."""
-    firsts = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__q_id")).distinct()
-    return docs.join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col("__q_id")), "left_semi")
+    """The rows of docs with the smallest doc_id of their group of similar texts, with their columns as they were."""
+    rows = written(similar.groups(docs), "groups")
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("__q_id")).select("__q_id").distinct()
+    return docs.join(least, F.col("doc_id").cast("long").eqNullSafe(F.col("__q_id")), "left_semi")
