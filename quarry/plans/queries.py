@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import chunking, consolidation, dense, evaluation, lexical, tuning
-from quarry.sources import captions, files, manifest, po
+from quarry.sources import captions, files, manifest, pages, po
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -551,6 +551,18 @@ def header_footer_lines(spark, sf_dir):
     return files.running_lines(pages, share=0.01).select(F.col("doc").alias("source"), "line", "pages")
 
 
+@query(
+    r"""
+WITH b AS (SELECT source, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(x, '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g')), lambda x: x <> '') AS bare FROM documents),
+e AS (SELECT source, 'head' AS place, bare[1] AS line FROM b WHERE len(bare) > 0 UNION ALL SELECT source, 'foot', bare[-1] FROM b WHERE len(bare) > 0),
+n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
+SELECT source, place, line FROM e JOIN n USING (source) GROUP BY source, place, line, n HAVING n >= 5 AND count(*) > 0.01 * n"""
+)
+def running_heads_and_feet(spark, sf_dir):
+    given = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("text"))
+    return pages.running_lines(given, share=0.01).select(F.col("doc").alias("source"), "place", "line")
+
+
 @query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS snippet FROM documents")
 def snippet_window(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", files.window(F.col("text"), F.lit(2), F.lit(9), 2).alias("snippet"))

@@ -8,6 +8,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quarry.plans.queries import QUERIES
 from quarry.sources import captions, files, labelled, manifest, pages, po
 
 
@@ -155,3 +156,10 @@ def test_labelled_queries(spark, tmp_path):
     queries, golds = labelled.load(spark, str(tmp_path / "q.json"))
     assert sorted(map(tuple, queries.collect())) == [("a", "how", "code"), ("b", "what", None)]
     assert sorted(map(tuple, golds.collect())) == [("a", 0, "x.py", 1, 2), ("a", 1, "y.py", None, None)]
+
+
+def test_running_heads_and_feet(spark, tmp_path):
+    rows = [("a", f"\n \nHead\nbody {i}\nFoot\n\n") for i in range(6)] + [("b", f"x{i}\nLine") for i in range(4)] + [("a", None), ("a", " \n")]
+    spark.createDataFrame(rows, "source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in QUERIES["running_heads_and_feet"](spark, str(tmp_path)).collect()}
+    assert got == {("a", "head", "Head"), ("a", "foot", "Foot")}
