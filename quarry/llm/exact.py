@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import SPACE, written
+from quarry.llm.shared import SPACE, id_key, rows_of, written
 
 #: Distinct digests of a shard of the index: some MB of digests and locators.
 SHARD_DIGESTS = 50_000
@@ -145,10 +145,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact deduplication keeps, with their columns as they were."""
-    text = F.unhex(F.sha2(normalised(F.col("text")), 256))
-    decided = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__q_id"), F.unhex("text_sha256").alias("__q_digest")).distinct()
-    return docs.join(decided, F.col("doc_id").cast("long").eqNullSafe(F.col("__q_id")) & (text == F.col("__q_digest")), "left_semi")
+    """One row of docs for each distinct normalised text, with its columns as they were: the one with the smallest doc_id.
+
+    Null ids come after all others; of rows that share id and text any one stays."""
+    kept = exact_dedup(docs).where("kept").select(id_key(F.col("doc_id")).alias("__q_id"), F.unhex("text_sha256").alias("__q_digest"))
+    wanted = written(kept.groupBy("__q_id", "__q_digest").agg(F.count(F.lit(1)).alias("n")), "wanted")
+    return rows_of(docs, {"__q_id": id_key(F.col("doc_id")), "__q_digest": F.unhex(F.sha2(normalised(F.col("text")), 256))}, wanted)
 
 
 ORACLE = r"""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The contract's words and white space, in ASCII terms.
@@ -13,13 +15,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 _own_dirs: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where it is unset, one of our own."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or, in a local session without it, one of
+    our own."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="quarry-")
@@ -30,7 +36,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and outlives any executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that written() made, once all that is made of it is written too."""
+    spark, path = table.sparkSession, _paths.pop(table)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -44,3 +59,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def n_words(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def own_columns(docs: DataFrame) -> DataFrame:
+    """docs, if none of its columns has a name that operators use for their own: those that start with __q_."""
+    if taken := [c for c in docs.columns if c.lower().startswith("__q_")]:
+        raise ValueError(f"columns may not start with __q_: {taken}")
+    return docs
+
+
+def id_key(doc_id: Column) -> Column:
+    """An id as text that is never null; a null id is the empty one."""
+    return F.coalesce(doc_id.cast("long").cast("string"), F.lit(""))
+
+
+def rows_of(docs: DataFrame, keys: dict[str, Column], wanted: DataFrame) -> DataFrame:
+    """One row of docs for each row of wanted(*keys, n), with its columns as they were.
+
+    n: how many rows of docs have these keys; they differ in other columns at most, and the one of least hash is taken."""
+    found = own_columns(docs).withColumns(keys).join(wanted.select(*keys), list(keys), "left_semi")
+    if wanted.where("n > 1").limit(1).count():
+        order = W.partitionBy(*keys).orderBy(F.xxhash64(*docs.columns))
+        found = found.withColumn("__q_nth", F.row_number().over(order)).where("__q_nth = 1")
+    return found.select(*docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import similar
 from quarry.llm.components import components
-from quarry.llm.shared import partitions, written
+from quarry.llm.shared import id_key, partitions, rows_of, written
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
 #: Shingles whose bits are counted at once.
@@ -189,7 +189,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their group of similar texts, with their columns as they were."""
-    rows = written(similar.groups(docs), "groups")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("__q_id")).select("__q_id").distinct()
-    return docs.join(least, F.col("doc_id").cast("long").eqNullSafe(F.col("__q_id")), "left_semi")
+    """One row of docs for each group of similar texts, with its columns as they were: the one with the smallest doc_id.
+
+    Null ids come after all others; rows that share the id go by their text's hash, and of wholly repeated ones any stays.
+    """
+    rows = similar.groups(docs).groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("x"))
+    wanted = written(first.select(id_key(F.col("x.doc_id")).alias("__q_id"), F.col("x.text_hash").alias("__q_text"), F.col("x.n").alias("n")), "wanted")
+    return rows_of(docs, {"__q_id": id_key(F.col("doc_id")), "__q_text": similar.text_hash(F.col("text"))}, wanted)

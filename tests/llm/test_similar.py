@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from quarry.llm import similar, simhash
+import numpy as np
+
+from quarry.llm import exact, similar, simhash
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -59,5 +61,25 @@ def test_frequent_shingles_change_nothing(spark, monkeypatch):
     assert {r.doc_id for r in simhash.representatives(docs).collect()} == set(brute(texts))
 
 
+def test_repeated_rows_and_null_ids_leave_one(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, long, "en"), (5, long, "en"), (5, long, "de"), (None, long, "en"), (7, "other words here", "en"), (None, "no id", "en"), (None, "no id", "en"), (None, None, None), (5, "another text under five", "en")]
+    for f in (simhash.representatives, exact.kept_documents):
+        got = f(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted({(5, long), (7, "other words here"), (None, "no id"), (None, None), (5, "another text under five")}, key=repr)
+
+
+def test_fingerprints_lose_nothing():
+    rng = random.Random(5)
+    for _ in range(300):
+        base = [rng.getrandbits(64) for _ in range(rng.randint(1, 200))]
+        other = [x for x in base if rng.random() > 0.1] + [rng.getrandbits(64) for _ in range(rng.randint(0, 20))]
+        a, b = (np.unique(np.array(x, np.uint64)) for x in (base, other or [1]))
+        differ = sum(bin(x ^ y).count("1") for x, y in zip(similar.fingerprint(a), similar.fingerprint(b), strict=True))
+        assert differ <= len(np.setxor1d(a, b)) and len(similar.fingerprint(a)) * 8 == similar.FINGERPRINT
+        if similar.similar(len(np.intersect1d(a, b)), len(a), len(b)):
+            assert similar.within(differ, len(a), len(b))
+
+
 def test_threshold_is_exact():
     assert similar.similar(8, 9, 9) and not similar.similar(8, 9, 10) and similar.similar(4, 5, 4)
