@@ -4,6 +4,9 @@ A document's ids are cut, from its end, into pieces of at most `capacity` tokens
 a hash, and each group is packed on its own: a piece goes where the sum, over residual gaps, of the squared number of open
 bins with that gap becomes smallest. The rule needs only the counts of open bins by gap, so a placement costs as many
 steps as there are gaps, however many bins are open.
+
+A new bin is one of the places that the rule weighs. As pieces come large ones first, it can pay to weigh it only when no
+open bin has room; a group is packed both ways, and the one with fewer bins stands.
 """
 
 from __future__ import annotations
@@ -47,13 +50,14 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each length, placed in the order given; lengths are 1 to capacity."""
+def sum_of_squares(lengths: np.ndarray, capacity: int, open_first: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of each length, placed in the order given; lengths are 1 to capacity. Of places that are as good the
+    smallest gap is taken, an open bin's before a new one's. With open_first a new bin waits until no open one has room."""
     count = np.zeros(capacity + 1, np.int64)  # open bins by gap
     open_: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins, offsets, made = np.empty(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
     for i, s in enumerate(lengths.tolist()):
-        gap = capacity  # a new bin's; one is opened only if the piece fits in no open one
+        gap = capacity  # a new bin's
         if s < capacity:
             was = count[s:capacity]  # gaps s, s + 1, ...
             change = 2 * (count[: capacity - s] - was + 1)
@@ -61,7 +65,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
                 change[0] = 1 - 2 * was[0]  # a bin that is filled is no longer open
                 change[was == 0] = 1 << 60
                 k = int(change.argmin())
-                if was[k]:
+                if was[k] and (open_first or change[k] <= 2 * count[capacity - s] + 1):
                     gap = s + k
         if gap == capacity:
             b, made = made, made + 1
@@ -75,6 +79,11 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
+def fewest(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """sum_of_squares() with a new bin weighed always or last, whichever takes fewer bins."""
+    return min((sum_of_squares(lengths, capacity, first) for first in (False, True)), key=lambda x: int(x[0].max(initial=-1)))
+
+
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """A row for each piece of docs(doc_id, text, ...): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -90,7 +99,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         # large ones first, in an order that does not depend on how the rows arrive
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        bins, offsets = sum_of_squares(pdf["length"].to_numpy(), capacity)
+        bins, offsets = fewest(pdf["length"].to_numpy(), capacity)
         pdf["sequence_id"], pdf["offset"] = -1 - (pdf["__q_group"].to_numpy() * width + bins), offsets
         return pdf.drop(columns="__q_group")
 

@@ -148,7 +148,8 @@ def test_sum_of_squares_places_by_the_rule():
     rng = random.Random(5)
     for _ in range(30):
         lengths = [rng.randint(1, 20) for _ in range(60)]
-        bins, offsets = packing.sum_of_squares(np.array(lengths), 20)
+        first = rng.random() < 0.5
+        bins, offsets = packing.sum_of_squares(np.array(lengths), 20, first)
         level: dict[int, int] = {}
         for s, b, o in zip(lengths, bins.tolist(), offsets.tolist(), strict=True):
             gaps = Counter(20 - x for x in level.values() if x < 20)
@@ -158,14 +159,26 @@ def test_sum_of_squares_places_by_the_rule():
                 return sum(n * n for n in after.values())
 
             fits = [g for g in gaps if g >= s]
-            assert level.get(b, 0) == o
-            if fits:
-                assert total(20 - o) == min(map(total, fits))
+            assert level.get(b, 0) == o and (o > 0 or b not in level)
+            if fits and first:
+                assert total(20 - o) == min(map(total, fits)) and o
             else:
-                assert o == 0 and b not in level
+                assert total(20 - o) == min(map(total, [*fits, 20]))
             level[b] = o + s
 
 
+def test_packing_needs_few_bins():
+    rng = np.random.default_rng(3)
+    lengths = np.sort(np.concatenate([rng.integers(1, 1024, 4000), rng.integers(1, 60, 2000)]))[::-1]
+    for some in (lengths, lengths[::40]):
+        bins, _ = packing.fewest(some, 1024)
+        least = -(-some.sum() // 1024)
+        print("bins", bins.max() + 1, "lower bound", least)
+        assert bins.max() + 1 <= 1.002 * least + 1
+        assert bins.max() <= min(packing.sum_of_squares(some, 1024, first)[0].max() for first in (False, True))
+    assert [len(x) for x in packing.fewest(np.array([], np.int64), 1024)] == [0, 0]
+
+
 def test_fingerprints_and_components(docs, corpus):
     def brute(text: str | None) -> int:
         words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
