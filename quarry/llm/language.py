@@ -10,7 +10,7 @@ comes from a forward and a backward pass, and doesn't depend on the language, so
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.shared import own_columns
 from quarry.llm.vocabulary import default_path
 
-#: Letters of the longest piece; letters of a word's longest part (a longer word is scored part by part).
-PIECE, PART = 8, 32
+#: Longer words are scaled, at every SCALED-th letter, so that their probabilities stay within a double's range.
+SCALED, LONG, TINY = 8, 16, 2.0**-400
 SMOOTHING = 0.1
 #: Distinct words that a task keeps.
 KEPT = 300_000
@@ -41,8 +42,9 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         own = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()))
-        self.names = sorted({x for x in own if len(x) <= PIECE and x.strip(_MARK) and _LETTERS.fullmatch(x.removeprefix(_MARK))} | {_MARK})
+        self.names = sorted({x for x in own if x.strip(_MARK) and _LETTERS.fullmatch(x.removeprefix(_MARK))} | {_MARK})
         self.other = len(self.names)  # a letter that is no piece
+        self.longest = max(map(len, self.names))
         self.size = 1 << 18
         self.slot, self.held, self.probes = np.full(self.size, -1, np.int32), np.zeros(self.size, np.uint64), 0
         for i, name in enumerate(self.names):
@@ -83,36 +85,59 @@ def pieces(path: str) -> Pieces:
 
 
 def words(chunk: str) -> list[str]:
-    """The runs of letters of a chunk in lower case, in parts of at most PART, the first of a run with the mark."""
-    return [(_MARK if k == 0 else "") + run[k : k + PART] for run in _LETTERS.findall(chunk.lower()) for k in range(0, len(run), PART)]
+    """The runs of letters of a chunk in lower case, whole, each after the mark of a word's start."""
+    return [_MARK + run for run in _LETTERS.findall(chunk.lower())]
+
+
+#: Letters, of all words together, that are looked up at once.
+AT_ONCE = 400_000
 
 
 def _by_length(items: list[str]) -> Iterator[tuple[int, np.ndarray]]:
     lengths = np.array([len(x) for x in items])
     for n in np.unique(lengths):
-        at = np.flatnonzero(lengths == n)
-        for k in range(0, len(at), 20_000):
-            yield int(n), at[k : k + 20_000]
+        at, step = np.flatnonzero(lengths == n), max(1, AT_ONCE // int(n))
+        for k in range(0, len(at), step):
+            yield int(n), at[k : k + step]
 
 
 def _lattice(vocabulary: Pieces, items: list[str], n: int) -> dict[int, np.ndarray]:
     """By piece length, the piece that starts at each place; places without a one-letter piece have the `other` one."""
     codes = coded(items, n)
-    out = {k: vocabulary.ids(codes, k) for k in range(1, min(PIECE, n) + 1)}
+    out = {k: vocabulary.ids(codes, k) for k in range(1, min(vocabulary.longest, n) + 1)}
     out[1] = np.where(out[1] < 0, vocabulary.other, out[1])
     return out
 
 
+def _forward(lattice: dict[int, np.ndarray], of: Callable[[int, int], np.ndarray], n: int, keep: bool) -> tuple[list, list]:
+    """Sums over all segmentations of each prefix, and the logarithms by which they are too small.
+
+    of(k, i) are the probabilities of the pieces of k letters that start at i. Without keep only the last sums stay."""
+    longest, alpha, logs = max(lattice), [1.0], [0.0]
+    for i in range(1, n + 1):
+        first = i - len(alpha) if not keep else 0  # prefix that alpha[0] is
+        alpha.append(sum(alpha[i - k - first] * of(k, i - k) for k in range(1, min(longest, i) + 1)))
+        logs.append(logs[-1])
+        if n > LONG and i % SCALED == 0:
+            # the window that later sums are made of goes up together
+            tiny = alpha[-1] < TINY
+            if np.any(tiny):
+                up = np.where(tiny, 1 / TINY, 1.0)
+                alpha[-longest:] = [x * up for x in alpha[-longest:]]
+                logs[-longest:] = [x - np.log(up) for x in logs[-longest:]]
+        if not keep and len(alpha) > longest:
+            alpha, logs = alpha[-longest:], logs[-longest:]
+    return alpha, logs
+
+
 def log_likelihood(vocabulary: Pieces, items: list[str], p: np.ndarray) -> np.ndarray:
     """(words, languages): the logarithm of each word's probability over all segmentations. p: (pieces + 1, languages)."""
     table = np.vstack([p, np.zeros(p.shape[1])])  # row -1: no piece
     out = np.zeros((len(items), p.shape[1]))
     for n, at in _by_length(items):
         lattice = _lattice(vocabulary, [items[i] for i in at], n)
-        alpha = [np.ones((len(at), p.shape[1]))]
-        for i in range(1, n + 1):
-            alpha.append(sum(alpha[i - k] * table[lattice[k][:, i - k]] for k in range(1, min(PIECE, i) + 1)))
-        out[at] = np.log(alpha[n])
+        alpha, logs = _forward(lattice, lambda k, i: table[lattice[k][:, i]], n, False)  # noqa: B023
+        out[at] = np.log(alpha[-1]) + logs[-1]
     return out
 
 
@@ -122,17 +147,16 @@ def expected_counts(vocabulary: Pieces, items: list[str], weights: np.ndarray) -
     for n, at in _by_length(items):
         lattice = _lattice(vocabulary, [items[i] for i in at], n)
         p = {k: np.where(x >= 0, p0, 0.0) for k, x in lattice.items()}
-        alpha, beta = [np.ones(len(at))], {n: np.ones(len(at))}
-        for i in range(1, n + 1):
-            alpha.append(sum(alpha[i - k] * p[k][:, i - k] for k in range(1, min(PIECE, i) + 1)))
-        for i in range(n - 1, -1, -1):
-            beta[i] = sum(p[k][:, i] * beta[i + k] for k in range(1, min(PIECE, n - i) + 1))
+        alpha, up = _forward(lattice, lambda k, i: p[k][:, i], n, True)  # noqa: B023
+        # the sums of each suffix are those of the prefixes of the words turned round
+        beta, down = _forward(lattice, lambda k, i: p[k][:, n - i - k], n, True)  # noqa: B023
+        before, after = (np.log([np.broadcast_to(x, len(at)) for x in sums]) + np.array([np.broadcast_to(x, len(at)) for x in logs]) for sums, logs in ((alpha, up), (beta[::-1], down[::-1])))
         for k, ids in lattice.items():
-            for i in range(n - k + 1):
-                met = ids[:, i] >= 0
-                share = alpha[i][met] * p0 * beta[i + k][met] / alpha[n][met]
-                for lang in range(weights.shape[1]):
-                    out[:, lang] += np.bincount(ids[met, i], weights=share * weights[at[met], lang], minlength=len(out))
+            share = np.exp(before[: n - k + 1] + after[k:] + np.log(p0) - before[n])
+            where, word = np.nonzero(ids.T >= 0)
+            piece, part = ids.T[where, word], share[where, word]
+            for lang in range(weights.shape[1]):
+                out[:, lang] += np.bincount(piece, weights=part * weights[at[word], lang], minlength=len(out))
     return out
 
 
@@ -249,4 +273,4 @@ def predict(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs, with their columns as they were, whose language is known with a score of `least` or more."""
-    return identified(docs, fit(docs)).where((F.col("__q_lang") != "und") & (F.col("__q_score") >= least)).drop("__q_lang", "__q_score")
+    return identified(own_columns(docs), fit(docs)).where((F.col("__q_lang") != "und") & (F.col("__q_score") >= least)).drop("__q_lang", "__q_score")

@@ -100,7 +100,7 @@ def test_forward_sums_all_segmentations():
         if not w:
             return [[]]
         out = []
-        for k in range(1, min(len(w), language.PIECE) + 1):
+        for k in range(1, len(w) + 1):
             if (i := index.get(w[:k], vocabulary.other if k == 1 else None)) is not None:
                 out += [[i, *rest] for rest in cuts(w[k:])]
         return out
@@ -118,6 +118,56 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(ones[:, i], want)
 
 
+def test_long_pieces_and_long_words():
+    vocabulary, rng = language.pieces(default_path("piece_bpe_32k.model")), np.random.default_rng(1)
+    assert max(map(len, vocabulary.names)) == vocabulary.longest > 8
+    p = rng.random((vocabulary.other + 1, 2)) ** 8 * 1e-3
+    index = {n: i for i, n in enumerate(vocabulary.names)}
+
+    def logarithms(w: str, q: np.ndarray) -> list[float]:
+        """By logarithms, so that no length is too long."""
+        a = [0.0]
+        for i in range(1, len(w) + 1):
+            terms = [a[i - k] + math.log(q[j]) for k in range(1, i + 1) if i - k >= max(0, i - 20) and (j := index.get(w[i - k : i], vocabulary.other if k == 1 else None)) is not None]
+            top = max(terms)
+            a.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+        return a
+
+    long = max(vocabulary.names, key=len)
+    items = [long, "▁confidence" * 3, "▁" + "straße" * 9, "a" * 31, "a" * 32, "a" * 33, "ж" * 400, "▁" + "kalomiren" * 300]
+    got = language.log_likelihood(vocabulary, items, p)
+    for i, w in enumerate(items):
+        assert np.allclose(got[i], [logarithms(w, p[:, k])[-1] for k in range(2)], rtol=1e-9)
+    ones = language.expected_counts(vocabulary, items, np.eye(len(items)))
+    same = np.full(len(p), 1 / (vocabulary.other + 1))
+    for i, w in enumerate(items):
+        front, back = logarithms(w, same), {}
+        for a in range(len(w), -1, -1):
+            terms = [0.0] if a == len(w) else [back[a + k] + math.log(same[0]) for k in range(1, min(20, len(w) - a) + 1) if w[a : a + k] in index or k == 1]
+            back[a] = max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms))
+        want = np.zeros(len(p))
+        for a in range(len(w)):
+            for k in range(1, min(20, len(w) - a) + 1):
+                if (j := index.get(w[a : a + k], vocabulary.other if k == 1 else None)) is not None:
+                    want[j] += math.exp(front[a] + back[a + k] + math.log(same[0]) - front[-1])
+        assert np.allclose(ones[:, i], want)
+    assert language.words("Ab-cd " + "x" * 50) == ["▁ab", "▁cd", "▁" + "x" * 50]
+
+
+def test_language_of_awkward_tables(spark):
+    rng = random.Random(6)
+    own = {"xx": "ka lo mi ren tas", "yy": "sch ung ber ich keit"}
+    rows = [(i, sentence(rng, 30, own[lang]), lang, "clash", lang) for i, lang in enumerate(["xx", "yy"] * 40)]
+    rows += [rows[0], rows[0], (200, "kalomi" * 20_000, None, None, None), (None, None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, lang_pred string")
+    got = Counter((r.doc_id, r.lang_pred) for r in language.predict(d).collect())
+    assert got == Counter((i, "und" if x is None else lang or "xx") for i, x, lang, *_ in rows)
+    kept = language.accepted(d)
+    assert kept.columns == d.columns and Counter(map(tuple, kept.collect())) == Counter(r for r in rows if r[1])
+    with pytest.raises(ValueError, match="__q_"):
+        language.accepted(d.withColumn("__q_lang", F.lit(1)))
+
+
 def test_packing(docs, corpus):
     got = packing.pack(docs, group_pieces=50).collect()
     ids = {i: np.array([*encoded(x or "", default_path()), 2], "<u4") for i, x, *_ in corpus if i is not None}
