@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm.shared import written
 
-#: Labelled rows that the classifier is fitted on, at most: those with the least hash of their id.
+#: Labelled rows that the classifier is fitted on, at most: those of least hash, rows that are alike counted as often as they are.
 FIT_ROWS = 20_000
+#: The hash range is parted by so many bits, and the part that holds the sample's end again.
+PARTED = 12
 #: Probabilities are summed as whole numbers of this part, so that no order of summing shows.
 UNIT = 1_000_000
 FEATURES = ("log_bytes", "log_words", "word_length", "distinct_words", "distinct_lines", "upper", "digit", "bang", "bar", "stop", "comma", "markup", "other", "wide")
@@ -88,6 +90,32 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
+def fit_sample(labelled: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(x, label) of the `rows` rows of least hash, or all, of labelled(doc_id, x, label).
+
+    Rows are counted by parts of the hash range, until the part where the sample ends holds few; then all rows up to its
+    end are fetched, those that are alike as one with their number. At most 2 * rows and a part's worth come to the driver."""
+    placed = labelled.withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id", "x", "label"), 1))
+    low, high, before = 0, (1 << 63) - 1, 0
+    for bits in range(63 - PARTED, PARTED, -PARTED):
+        offset = F.col("place") - F.lit(low)
+        inside = placed.where(F.shiftrightunsigned(offset, bits + PARTED) == 0)
+        last = None
+        for part, n in sorted(map(tuple, inside.groupBy(F.shiftright(offset, bits)).count().collect())):
+            if before + n > rows:
+                low, high, last = low + (part << bits), low + (part + 1 << bits) - 1, n
+                break
+            before += n
+        if last is None or last <= rows:
+            break
+    alike = placed.where(F.col("place") <= F.lit(high)).groupBy("place", "doc_id", "label", "x").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    alike["x"] = alike["x"].map(tuple)
+    alike = alike.sort_values(["place", "doc_id", "label", "x"])
+    n = np.diff(np.minimum(np.cumsum(np.r_[0, alike["n"]]), rows))
+    x = np.array(alike["x"].tolist()).reshape(len(alike), len(FEATURES))
+    return np.repeat(x, n, axis=0), np.repeat(alike["label"].to_numpy(float), n)
+
+
 def rate(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
     """A row for each row of docs(doc_id, text, host, path, ...): doc_id, p_doc, p_site, quality, keep.
 
@@ -97,14 +125,9 @@ def rate(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("double")).alias("label"))
     rows = written(features(docs, host, path).join(known, "doc_id", "left").select("doc_id", "host", "path", "x", "label"), "features")
-    labelled = rows.where(F.col("label").isNotNull())
-    # hashes so low that about 1.5 times the wanted rows have one: no task hands on more than its share of these
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
-    low = int((1 << 32) * min(1.0, 1.5 * fit_rows / max(1, labelled.count())))
-    sample = labelled.where(place < low).orderBy(place, "doc_id").limit(fit_rows).select("x", "label").toPandas()
-    x = np.array(sample["x"].tolist()).reshape(len(sample), len(FEATURES))
-    w, intercept = fit(x, sample["label"].to_numpy(float))
-    base = (float(sample["label"].sum()) + 1) / (len(sample) + 2)
+    x, y = fit_sample(rows.where(F.col("label").isNotNull()).select("doc_id", "x", "label"), fit_rows)
+    w, intercept = fit(x, y)
+    base = (float(y.sum()) + 1) / (len(y) + 2)
     dot = sum((F.col("x")[i] * float(v) for i, v in enumerate(w)), F.lit(intercept))
     p_doc = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), dot))))
     scored = rows.withColumn("p_doc", p_doc).withColumn("q", F.round(F.coalesce("label", "p_doc") * UNIT).cast("long"))

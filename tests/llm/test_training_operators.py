@@ -480,6 +480,77 @@ def test_quality(spark):
                 assert min(own, rate) - 0.1 <= by[i].p_site <= max(own, rate) + 0.1
 
 
+def test_quality_sample_is_the_least_hashes(spark, monkeypatch):
+    x = lambda i: [float(i)] * len(quality.FEATURES)
+    rows = [(i, x(i), float(i % 2)) for i in range(100)] + [(7, x(7), 1.0)] * 3000
+    d = spark.createDataFrame(rows, "doc_id long, x array<double>, label double").repartition(6)
+    order = d.select("doc_id", (F.shiftrightunsigned(F.xxhash64("doc_id", "x", "label"), 1)).alias("h")).orderBy("h").collect()
+    for parted in (12, 2):
+        monkeypatch.setattr(quality, "PARTED", parted)
+        for n in (0, 1, 40, 1000, 3050, 5000):
+            got, y = quality.fit_sample(d, n)
+            assert len(got) == len(y) == min(n, len(rows))
+            assert Counter(got[:, 0].tolist()) == Counter(float(r.doc_id) for r in order[:n])
+
+
+def brute_quality(rows: list[tuple], labels: list[tuple]) -> dict[int, tuple[float, float, float]]:
+    """(p_doc, p_site, quality) of each row of (doc_id, text, path, host), by plain arithmetic from the texts up."""
+    known: dict[int, float] = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            known[i] = max(known.get(i, 0.0), float(q))
+    x = [quality.surface((r[1] or "").encode()) for r in rows]
+    fitted = [(a, known[r[0]]) for a, r in zip(x, rows, strict=True) if r[0] in known]
+    a, y = np.array([f[0] for f in fitted]), np.array([f[1] for f in fitted])
+    mean, scale = a.mean(axis=0), a.std(axis=0) + 1e-9
+    w, b = np.zeros(a.shape[1]), 0.0
+    for _ in range(60):  # Newton's steps on the ridge likelihood, weights and intercept apart
+        z = (a - mean) / scale
+        p = 1 / (1 + np.exp(-np.clip(z @ w + b, -30, 30)))
+        v = p * (1 - p)
+        h = np.block([[(z.T * v) @ z + np.eye(len(w)), (z.T @ v)[:, None]], [(z.T @ v)[None, :], np.array([[v.sum() + 1e-6]])]])
+        step = np.linalg.solve(h, np.r_[z.T @ (y - p) - w, (y - p).sum() - 1e-6 * b])
+        w, b = w + step[:-1], b + step[-1]
+    p_doc = [1 / (1 + math.exp(-max(-30, min(30, float((v - mean) / scale @ w + b))))) for v in x]
+    q = [round(known.get(r[0], p) * 1e6) / 1e6 for r, p in zip(rows, p_doc, strict=True)]
+    path, host = defaultdict(list), defaultdict(list)
+    for r, v in zip(rows, q, strict=True):
+        path[r[3], r[2]].append(v)
+        host[r[3]].append(v)
+
+    def strength(sites: list[tuple[list[float], float]]) -> float:
+        n = sum(len(v) for v, _ in sites)
+        between = (sum(len(v) * (sum(v) / len(v) - m) ** 2 for v, m in sites) - sum(m * (1 - m) for _, m in sites)) / n
+        spread = sum(len(v) * m * (1 - m) for v, m in sites) / n
+        return min(max(round(spread / between - 1, 6), 1.0), 1e6) if between > 1e-9 else 1e6
+
+    mean_all = sum(q) / len(q)
+    m = strength([(v, mean_all) for v in host.values()])
+    of_host = {h: (sum(v) + m * mean_all) / (len(v) + m) for h, v in host.items()}
+    m = strength([(v, of_host[h]) for (h, _), v in path.items()])
+    base = (y.sum() + 1) / (len(y) + 2)
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    out = []
+    for r, p, v in zip(rows, p_doc, q, strict=True):
+        s = path[r[3], r[2]]
+        site = min(1.0, max(0.0, (sum(s) - v + m * of_host[r[3]]) / (len(s) - 1 + m)))
+        out.append((r[0], p, site, 1 / (1 + math.exp(-(logit(site) + logit(p) - math.log(base / (1 - base)))))))
+    return out
+
+
+def test_quality_is_the_plain_arithmetic(spark):
+    rng = random.Random(8)
+    texts = [sentence(rng, rng.randint(1, 80)) + rng.choice([".", " |||", "!!", " 12 34"]) for _ in range(150)] + [None, "", "x " * 40_000]
+    rows = [(i, x, rng.choice(["p", "q", None]), rng.choice(["h", "g", "k", None]), "clash", 0.5) for i, x in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, "no id here", "p", "h", None, None)]
+    labels = [(i, rng.randint(0, 1)) for i in range(0, 160, 2)] + [(2, 1), (None, 1), (4, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, label string, p_doc double").repartition(4)
+    got = quality.rate(d, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0)
+    for g, w in zip(sorted(map(tuple, got), key=key), sorted(brute_quality(rows, labels), key=key), strict=True):
+        assert g[0] == w[0] and np.allclose(g[1:4], w[1:], atol=2e-5) and g[4] == (g[3] >= 0.5)
+
+
 def test_quality_without_labels(spark):
     d = spark.createDataFrame([(1, "some text", "en", "a")], "doc_id long, text string, lang string, source string")
     r = quality.rate(d, spark.createDataFrame([], "doc_id long, quality int")).first()
