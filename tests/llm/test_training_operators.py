@@ -315,11 +315,49 @@ def test_license_scan(spark):
     got = {r.doc_id: r for r in licenses.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(got) == len(rows)
     assert got[1].license == "MIT" and got[1].coverage == 1.0
-    assert got[2].license == "MIT" and 0.9 < got[2].coverage < 1
+    assert got[2].license == "MIT" and 0.9 < got[2].coverage < 1 and got[2].licenses == ["MIT"]
     assert [got[i].license for i in (3, 4, 5, 6)] == [None] * 4
     assert got[7].license == "Apache-2.0-notice" and got[None].license == "MIT-notice"
 
 
+@pytest.mark.parametrize("name", ["MIT", "BSD-3-Clause", "Apache-2.0", "Unlicense"])
+def test_license_scan_is_the_whole_texts_alignment(name):
+    rng, template = random.Random(12), licenses.words(licenses.TEMPLATES[name])
+    for n in (0, 1, 10, 20, 40, 80, 200):
+        for _ in range(4):
+            at, filler = rng.randint(0, len(template)), sentence(rng, n).split()
+            text = sentence(rng, 50).split() + template[:at] + filler + template[at:] + sentence(rng, 300).split()
+            whole = len(licenses.align(text, template)) / len(template)
+            found = licenses.scan(" ".join(text))
+            assert whole > 0.9 and len(found[name]) / len(template) >= whole
+            assert licenses.ranked(found)[0][0] == name
+
+
+def test_license_scan_misses_no_template():
+    """Every template, altered by up to a fifth of its words, against alignment with all templates without any bound."""
+    rng = random.Random(13)
+    for name, template in licenses.templates().items():
+        for part in (0, 0.05, 0.15):
+            text = [w for w in template if rng.random() >= part]
+            for copies in (1, 2, 5):
+                held = " filler ".join([" ".join(text)] * copies)
+                found = licenses.scan("before it " + held + " after it")
+                for other, t in licenses.templates().items():
+                    brute = licenses.matched(licenses.words("before it " + held + " after it"), t)
+                    assert (other in found) == (len(brute) >= 0.8 * len(t) - 1e-9)
+                if len(licenses.align(text, template)) >= 0.8 * len(template):
+                    assert name in found and len(found[name]) >= len(licenses.align(text, template))
+
+
+def test_license_scan_of_awkward_tables(spark):
+    cc = "Licensed under CC BY 4.0."
+    rows = [(1, f"{cc} Photo X. {cc}", "clash"), (1, f"{cc} Photo X. {cc}", "clash"), (2, "x " * 30_000 + cc + " y" * 30_000 + cc, None), (3, "GPLv3 in prose, licensed works, and far from it the Apache things under a License, later Version 2.0", None), (4, "\n".join([cc, "Released under the MIT License."]), None), (None, cc, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, license string")
+    got = Counter((r.doc_id, r.license, tuple(r.licenses)) for r in licenses.scan_documents(d).collect())
+    by = "CC-BY-4.0-notice"
+    assert got == Counter([(1, by, (by,)), (1, by, (by,)), (2, by, (by,)), (3, None, ()), (4, by, (by, "MIT-notice")), (None, by, (by,))])
+
+
 def test_alignment_is_common_and_rising():
     rng = random.Random(4)
     for _ in range(200):
