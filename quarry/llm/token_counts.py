@@ -3,7 +3,9 @@
 Documents are read in blocks. A block's pre-token frequencies leave it as one row for each distinct pre-token, with the
 documents (by their place in the block) and counts packed in one value; pre-tokens that are a vocabulary piece by
 themselves are counted on the spot, as the vocabulary has a fixed size. Rows meet by pre-token, its pieces are counted
-once, and the sums go back to the blocks, packed again. A pre-token that all documents hold is one row for each block.
+once, and the sums go back to the blocks, packed again. A pre-token that all documents hold is one row for each block, and
+where it is in many documents of a block, the row goes to a task by pre-token and block: such a pre-token is counted once in
+each of these tasks, and in none of them meets all its rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from quarry.llm.vocabulary import default_path, pre_tokens, special_ids, tokeniz
 BLOCK_BYTES = 24 << 20
 #: Sums that a task holds before it hands them on.
 HELD = 4_000_000
+#: Bytes of a row's documents and counts from which it is dealt by its block too.
+HOT_BYTES = 512
 ROWS = "key binary, block long, payload binary"
 ENTRY = np.dtype([("doc", "<u4"), ("n", "<u4")])
 
@@ -141,7 +145,7 @@ def piece_sums(rows: DataFrame, path: str) -> DataFrame:
 
     n = partitions(rows.sparkSession)
     # headers have no key: they are dealt by their block
-    dealt = rows.repartition(n, F.coalesce("key", F.col("block").cast("string").cast("binary"))).sortWithinPartitions("key")
+    dealt = rows.repartition(n, F.coalesce("key", F.lit(b"")), F.when(F.col("key").isNull() | (F.octet_length("payload") >= HOT_BYTES), F.col("block"))).sortWithinPartitions("key")
     return dealt.select("key", "block", "payload").mapInArrow(run, "block long, payload binary")
 
 
