@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.shared import partitions, written
@@ -110,23 +111,24 @@ def shard_of(shards: int) -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")
 
 
-def split_documents(docs: DataFrame, hits: DataFrame, shards: int) -> DataFrame:
+def split_documents(docs: DataFrame, hits: DataFrame, shards: int, texts: bool) -> DataFrame:
     """Documents without a recurring anchor, done; the others with their text and those anchors. Shard by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sha = [], []
+            n, sha, kept = [], [], []
             hit = batch.column(2).is_valid()
             for x, open_ in zip(batch.column(1), hit.to_pylist(), strict=True):
                 words = _words(x)
                 n.append(len(words))
                 sha.append(None if open_ else _sha(words))
+                kept.append(b" ".join(words).decode() if texts and not open_ else None)
             text = pa.array([x if open_ else None for x, open_ in zip(batch.column(1).to_pylist(), hit.to_pylist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), text, batch.column(2), batch.column(3)], ["doc_id", "n_words", "kept_sha256", "text", "anchors", "shard"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), text, batch.column(2), batch.column(3), pa.array(kept, pa.string())], ["doc_id", "n_words", "kept_sha256", "text", "anchors", "shard", "kept_text"])
 
     keyed = _binary_text(docs).withColumn("shard", shard_of(shards)).repartition(partitions(docs.sparkSession), "shard")
     joined = keyed.join(hits, ["shard", "doc_id"], "left").sortWithinPartitions("shard").select("doc_id", "text", "anchors", "shard")
-    return joined.mapInArrow(run, "doc_id long, n_words long, kept_sha256 string, text binary, anchors array<long>, shard long")
+    return joined.mapInArrow(run, "doc_id long, n_words long, kept_sha256 string, text binary, anchors array<long>, shard long, kept_text string")
 
 
 def candidate_windows(candidates: DataFrame, window: int) -> DataFrame:
@@ -226,7 +228,7 @@ class Automaton:
         return np.cumsum(out[:-1]) > 0
 
 
-def scrubbed(candidates: DataFrame, found: DataFrame, window: int, texts: bool = False) -> DataFrame:
+def scrubbed(candidates: DataFrame, found: DataFrame, window: int, texts: bool) -> DataFrame:
     """RESULT for each candidate, in shards; with kept_text if asked."""
 
     def shard(docs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -242,8 +244,8 @@ def scrubbed(candidates: DataFrame, found: DataFrame, window: int, texts: bool =
     return by.cogroup(found.groupBy("shard")).applyInPandas(shard, RESULT + ", kept_text string" * texts)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """A row for each row of docs(doc_id, text, ...): doc_id, n_words, n_removed, kept_sha256.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
+    """A row for each row of docs(doc_id, text, ...): doc_id, n_words, n_removed, kept_sha256, and kept_text if asked.
 
     Each word is removed that is in a window whose words also start in a document with a smaller doc_id; windows are those
     of the input. A null text has no words. A document without an id has no place in the order: it keeps all its words and
@@ -253,16 +255,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n = partitions(docs.sparkSession)
     shards = max(1, -(-docs.select("doc_id").count() // SHARD_DOCS))
     met = written(document_anchors(docs, window), "anchors")
-    recurring = met.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    # a table of its own: both sides of the join are dealt anew, and an anchor of very many documents is split
+    recurring = written(met.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "recurring")
     hits = met.join(recurring, "anchor").select(shard_of(shards), "doc_id", "anchor").repartition(n, "shard").groupBy("shard", "doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    split = written(split_documents(docs, hits, shards), "split")
-    done = split.where(F.col("text").isNull()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
+    split = written(split_documents(docs, hits, shards, texts), "split")
+    done = split.where(F.col("text").isNull()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", *["kept_text"] * texts)
     candidates = split.where(F.col("text").isNotNull())
     # both groupings stand on one exchange by the window
     seen = candidate_windows(candidates, window).repartition(n, "hash").groupBy("hash", "shard").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    by_window = seen.groupBy("hash").agg(F.min("least").alias("owner"), F.collect_list(F.struct("shard", "most")).alias("shards"))
-    routes = by_window.select("hash", "owner", F.explode(F.filter("shards", lambda x: x["most"] > F.col("owner")))).select("owner", F.col("col.shard").alias("shard"), "hash")
+    routes = seen.withColumn("owner", F.min("least").over(W.partitionBy("hash"))).where("most > owner")
     wanted = routes.groupBy("owner", "shard").agg(F.collect_list("hash").alias("wanted"))
     owners = candidates.select(F.col("doc_id").alias("owner"), "text")
     found = passages(wanted.join(owners, "owner"), window)
-    return done.unionByName(scrubbed(candidates, found, window))
+    return done.unionByName(scrubbed(candidates, found, window, texts))
