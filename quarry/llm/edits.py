@@ -3,6 +3,10 @@
 A text's k-mers are numbered by occurrence, so repeats are different; each is hashed once, and the hash also names the
 part of the hash range it falls in. In each part the least TUPLE of them are put back in the order of the text, and the
 hash of that tuple is one value of the fingerprint. A part with too few goes on into the next, round the end.
+
+This is the variant with one hash for all values, cut in parts, where the plain method hashes every k-mer once for each
+value. In a text of many k-mers the values are as good; one of fewer than TUPLE for each part shares k-mers between
+neighbouring values, so its likeness moves in larger steps, and short texts that are equal still have equal fingerprints.
 """
 
 from __future__ import annotations
@@ -20,9 +24,11 @@ from quarry.llm.shared import partitions
 
 #: Code points of a k-mer; k-mers of a tuple; values of a fingerprint (16 bits each).
 K, TUPLE, VALUES = 5, 2, 64
+#: Bytes of text that a task is dealt.
+TASK_BYTES = 128 << 20
 #: Documents of a range of ids, and how many ranges there may be: what the driver holds is two numbers for each.
 RANGE_DOCS, MOST_RANGES = 500, 4096
-_PLACE = np.uint64(28)  # bits for a place in the text
+PLACE_BITS = 28  #: bits for a place in the text; longer texts take as many as they need
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,16 +52,18 @@ def fingerprint(text: str, k: int = K, values: int = VALUES) -> np.ndarray:
             h *= _BASE
             h += codes[j : j + n]
         place = np.arange(n, dtype=np.uint64)
-        by_kmer = np.sort((_mixed(h) >> _PLACE << _PLACE) | place)
-        kmer = by_kmer >> _PLACE
+        bits = np.uint64(max(PLACE_BITS, n.bit_length()))
+        by_kmer = np.sort((_mixed(h) >> bits << bits) | place)
+        kmer = by_kmer >> bits
         at = np.arange(n)
         first = np.maximum.accumulate(np.where(np.r_[True, kmer[1:] != kmer[:-1]], at, 0))
         numbered = _mixed(kmer * _BASE + (at - first).astype(np.uint64) + np.uint64(1))
-        least = np.sort((numbered >> _PLACE << _PLACE) | (by_kmer & np.uint64((1 << 28) - 1)))
+        places = (np.uint64(1) << bits) - np.uint64(1)
+        least = np.sort((numbered >> bits << bits) | (by_kmer & places))
         starts = np.searchsorted(least, (np.arange(values, dtype=np.uint64) << np.uint64(58)) if values == 64 else np.array([(i << 64) // values for i in range(values)], np.uint64))
         chosen = least[(starts[:, None] + np.arange(TUPLE)) % n]
-        order = np.argsort(chosen & np.uint64((1 << 28) - 1), axis=1, kind="stable")
-        chosen = np.take_along_axis(chosen, order, axis=1) >> _PLACE
+        order = np.argsort(chosen & places, axis=1, kind="stable")
+        chosen = np.take_along_axis(chosen, order, axis=1) >> bits
         out = chosen[:, 0]
         for j in range(1, TUPLE):
             out = _mixed(out * _BASE + chosen[:, j])
@@ -77,14 +85,14 @@ def _least_long(ids: pd.Series) -> np.ndarray:
     return ids.fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
 
 
-def paired(docs: DataFrame) -> tuple[DataFrame, int]:
-    """docs as (range, ahead, doc_id, text): each range of ids, and after it (ahead) the first document of the next.
+def paired(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """docs as (range, ahead, doc_id, text), the number of ranges, the bytes of all texts: each range of ids, and after it (ahead) the first document of the next.
 
     Ranges are cut at quantiles of the ids; each document is dealt to its range, and the first of each range to the one
     before it too, so that every document meets its follower without an order of the whole table in one task.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = rows.count()
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     wanted = max(1, min(MOST_RANGES, -(-n // RANGE_DOCS)))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], 20 * wanted)).first()[0] if wanted > 1 else None
     edges = np.unique(np.array(cuts or [], np.int64))
@@ -103,7 +111,7 @@ def paired(docs: DataFrame) -> tuple[DataFrame, int]:
         return pd.Series([[2 * r, 2 * before[i] + 1] if i in before else [2 * r] for r, i in zip(own.tolist(), ids.tolist(), strict=True)])
 
     dealt = rows.withColumn("slot", F.explode(slots("doc_id"))).select(F.shiftright("slot", 1).alias("range"), (F.col("slot") % 2 == 1).alias("ahead"), "doc_id", "text")
-    return dealt, len(firsts)
+    return dealt, len(firsts), size
 
 
 COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -115,8 +123,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The next document is the next row by (doc_id, text), and after the last the first; null ids come first, null texts
     count as empty. A table of one row is its own follower; an empty one gives no rows; other columns are not read.
     """
-    dealt, ranges = paired(docs)
-    n = min(ranges, partitions(docs.sparkSession)) or 1
+    dealt, ranges, size = paired(docs)
+    n = min(ranges, max(partitions(docs.sparkSession), size // TASK_BYTES)) or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (range, doc_id, text, fingerprint) of the row that waits for its follower
