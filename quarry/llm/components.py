@@ -1,11 +1,15 @@
-"""Connected components of a graph given by its links: no node's links and no component are ever gathered in one task."""
+"""Connected components of a graph given by its links: no component is gathered in one task, nor all links of a node.
+
+A node's minimum is taken before links are shuffled, and stands in a table of its own when it is joined to them: so both
+sides of the join are dealt anew, and adaptive execution splits the links of a node that has very many.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import written
+from quarry.llm.shared import discard, written
 
 
 def components(links: DataFrame, rounds: int = 200) -> DataFrame:
@@ -17,15 +21,17 @@ def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     """
     edges = links.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = written(edges, "links")
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     before = None
     for _ in range(rounds):
         both = edges.where("a != b").select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x")).select("x.*")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "links")
+        small_least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(small_least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a != b").distinct()
-        edges = written(small, "links")
+        old, edges = edges, written(small, "links")
+        for table in (old, least, large, small_least):
+            discard(table)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -54,6 +54,18 @@ def test_empty_tables(empty, spark):
         assert f(empty).collect() == []
 
 
+def test_token_counts_of_hot_pre_tokens(docs, corpus, monkeypatch):
+    """One pre-token outside the vocabulary in all rows is dealt by block; the counts are the same."""
+    monkeypatch.setattr(token_counts, "BLOCK_BYTES", 200)
+    rows = [(i, f"zzqxjk{(i or 0) % 2}vv zzqxjkhot {x or ''}") for i, x, *_ in corpus]
+    d = docs.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    t = tokenizer(default_path())
+    want = Counter((i, len(x.encode()), len(t.encode(x, add_special_tokens=False).ids)) for i, x in rows)
+    for least in (1, 512):
+        monkeypatch.setattr(token_counts, "HOT_BYTES", least)
+        assert Counter(tuple(r)[:3] for r in token_counts.token_counts(d).collect()) == want
+
+
 def test_token_counts(docs, corpus):
     t = tokenizer(default_path())
     want = Counter((i, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 1024) for i, x, *_ in corpus)
@@ -300,6 +312,12 @@ def test_substring_dedup(docs, corpus, monkeypatch):
     assert Counter(map(tuple, phrases.remove_repeats(docs).collect())) == covered(corpus, 50)
 
 
+def test_substring_dedup_gives_the_texts(docs, corpus):
+    got = phrases.remove_repeats(docs, texts=True).collect()
+    assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 and len(r.kept_text.split(" ")) == max(1, r.n_words - r.n_removed) for r in got)
+    assert Counter(tuple(r)[:4] for r in got) == covered(corpus, 50)
+
+
 def test_substring_dedup_of_few_words(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SHARD_DOCS", 7)
     rng = random.Random(11)
@@ -438,6 +456,42 @@ def test_edit_fingerprints(docs, corpus):
     assert Counter(map(tuple, edits.fingerprints(docs).collect())) == want
 
 
+def test_fingerprint_by_plain_python():
+    """The tuples of least numbered k-mers, by sorting whole tuples instead of packed numbers."""
+    def mixed(x: int) -> int:
+        return int(edits._mixed(np.array([x], np.uint64))[0])
+
+    full, base, rng = (1 << 64) - 1, int(edits._BASE), random.Random(10)
+    low = (1 << 28) - 1
+    for text in ("", "a", "ab", "abcde", "abcabcabcabc" * 9, sentence(rng, 5), sentence(rng, 150)):
+        codes, want = [ord(c) for c in text], []
+        k = min(edits.K, len(codes))
+        seen, numbered = Counter(), []
+        for i in range(len(codes) - k + 1 if codes else 0):
+            h = 0
+            for c in codes[i : i + k]:
+                h = (h * base + c) & full
+            kmer = mixed(h) >> 28
+            numbered.append((mixed((kmer * base + seen[kmer] + 1) & full) & ~low, i))
+            seen[kmer] += 1
+        numbered.sort()
+        for v in range(edits.VALUES if codes else 0):
+            first = sum(h < v << 58 for h, _ in numbered)
+            chosen = sorted((numbered[(first + j) % len(numbered)] for j in range(edits.TUPLE)), key=lambda x: x[1])
+            out = chosen[0][0] >> 28
+            for h, _ in chosen[1:]:
+                out = mixed((out * base + (h >> 28)) & full)
+            want.append(mixed(out) >> 48)
+        assert edits.fingerprint(text).tolist() == (want or [0] * edits.VALUES)
+
+
+def test_longer_places_change_no_order(monkeypatch):
+    rng = random.Random(2)
+    monkeypatch.setattr(edits, "PLACE_BITS", 4)
+    x = sentence(rng, 100)
+    assert edits.likeness(edits.fingerprint(x), edits.fingerprint(x)) == 1 and edits.likeness(edits.fingerprint(x), edits.fingerprint(sentence(rng, 100))) < 0.5
+
+
 def test_edit_ranges_meet(docs, monkeypatch):
     whole = Counter(map(tuple, edits.fingerprints(docs).collect()))
     monkeypatch.setattr(edits, "RANGE_DOCS", 5)
