@@ -26,7 +26,7 @@ from quarry.llm.vocabulary import default_path
 SCALED, LONG, TINY = 8, 16, 2.0**-400
 SMOOTHING = 0.1
 #: Distinct words that a task keeps.
-KEPT = 300_000
+KEPT = 200_000
 #: Expected counts are summed as whole numbers of this part, so that no order of summing shows.
 UNIT = 1e-6
 _MARK = "▁"
@@ -90,7 +90,7 @@ def words(chunk: str) -> list[str]:
 
 
 #: Letters, of all words together, that are looked up at once.
-AT_ONCE = 400_000
+AT_ONCE = 200_000
 
 
 def _by_length(items: list[str]) -> Iterator[tuple[int, np.ndarray]]:
@@ -180,10 +180,12 @@ def fit(docs: DataFrame, path: str | None = None) -> tuple[list[str], np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(path)
-        chunks, langs, pairs = _Numbered(), _Numbered(), []
+        chunks, langs, pairs = _Numbered(), _Numbered(), []  # pairs of language and chunk, with their numbers
 
         def counted() -> Iterator[pa.RecordBatch]:
-            pair, n = np.unique(np.concatenate(pairs), return_counts=True)
+            pair, where = np.unique(np.concatenate([x for x, _ in pairs]), return_inverse=True)
+            n = np.bincount(where, weights=np.concatenate([n for _, n in pairs]))
+            pair = pair % (1 << 32) + (pair >> 32) * len(chunks)
             numbered, of_chunk, of_word = _Numbered(), [], []
             for i, chunk in enumerate(chunks):
                 for w in words(chunk):
@@ -199,17 +201,12 @@ def fit(docs: DataFrame, path: str | None = None) -> tuple[list[str], np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(names[lang], pa.string()), pa.array(piece), pa.array(total[piece, lang])], ["lang", "piece", "n"])
 
         for batch in batches:
-            rows = []
-            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                ids = np.fromiter(map(chunks.__getitem__, text.as_py().split()), np.int64)
-                rows.append((langs[lang], ids))
-            pairs += [(lang << 32) + ids for lang, ids in rows]
+            met = [(langs[lang] << 32) + np.fromiter(map(chunks.__getitem__, text.as_py().split()), np.int64) for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True)]
+            pairs.append(np.unique(np.concatenate([np.array([], np.int64), *met]), return_counts=True))
             if len(chunks) > KEPT:
-                pairs = [x % (1 << 32) + (x >> 32) * len(chunks) for x in pairs]
                 yield from counted()
                 chunks, langs, pairs = _Numbered(), _Numbered(), []
         if pairs:
-            pairs = [x % (1 << 32) + (x >> 32) * len(chunks) for x in pairs]
             yield from counted()
 
     learn = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())

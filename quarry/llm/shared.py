@@ -52,7 +52,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of a batch of rows on its way to a Python worker, where the session keeps Spark's own 64 MB: texts are long.
+BATCH_BYTES = 8 << 20
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table; batches to Python are made smaller for it, so that workers need less memory."""
+    at = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(at).rstrip("b") == str(64 << 20):
+        spark.conf.set(at, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
