@@ -1,16 +1,39 @@
 """Connected components of a graph given by its links: no component is gathered in one task, nor all links of a node.
 
-A node's minimum is taken before links are shuffled, and stands in a table of its own when it is joined to them: so both
-sides of the join are dealt anew, and adaptive execution splits the links of a node that has very many.
+A node's minimum is taken before links are shuffled. Nodes with very many links are few, whatever the graph, so their minima
+are broadcast, and their links stay where they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.shared import discard, written
 
+#: Links from which a node is a hub, and the part of all links; there are at most 2 * HUB_PART hubs.
+HUB, HUB_PART = 100_000, 1000
+
+
+def _hubs(edges: DataFrame, n: int) -> list[int]:
+    """The nodes of more than HUB links, and of more than one in HUB_PART of the n links."""
+    least = max(HUB, n // HUB_PART)
+    if n <= least:
+        return []
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+    return [r["node"] for r in ends.where(F.col("count") > least).collect()]
+
+
+def _with_least(links: DataFrame, node: str, least: DataFrame, hubs: list[int]) -> DataFrame:
+    """links with m of least(node, m), a row for each node."""
+    if not hubs:
+        return links.join(least, node)
+
+    def hub(of: DataFrame) -> Column:
+        return of[node].isin(hubs)
+
+    return links.where(~hub(links)).join(least.where(~hub(least)), node).unionByName(links.where(hub(links)).join(F.broadcast(least.where(hub(least))), node))
+
 
 def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, root) of each node of links(a, b): root is the smallest node of its component.
@@ -19,23 +42,24 @@ def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     knows. Small star: each node links its smaller neighbours, and itself, to the smallest of them. Each step is one
     grouped minimum and one join. Self links count as nodes; nulls are left out.
     """
-    edges = links.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = written(edges, "links")
-    nodes = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    before = None
+    given = links.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    given = written(given, "links")
+    nodes = given.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    edges, before, n = given, None, given.count()
     for _ in range(rounds):
+        hubs = _hubs(edges, n)
         both = edges.where("a != b").select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x")).select("x.*")
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "links")
-        small_least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(small_least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a != b").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = _with_least(both, "u", least, hubs).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = _with_least(large, "a", small_least, hubs).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a != b").distinct()
         old, edges = edges, written(small, "links")
-        for table in (old, least, large, small_least):
-            discard(table)
+        if old is not given:
+            discard(old)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.groupBy("a").agg(F.min("b").alias("root"))

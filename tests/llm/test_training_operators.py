@@ -289,6 +289,21 @@ def test_components(spark):
     assert got == {i: 100 for i in range(100, 141)} | {7: 7, 8: 7, 9: 7, 5: 5}
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    from quarry.llm import components as module
+
+    monkeypatch.setattr(module, "HUB", 3)
+    rng = random.Random(4)
+    links = [(1000, i) for i in range(60)] + [(i, 500 + i) for i in range(0, 60, 3)] + [(2000 + i, 3000) for i in range(20)] + [(rng.randrange(4000, 4100), rng.randrange(4000, 4100)) for _ in range(60)]
+    root = {x: x for e in links for x in e}
+    for _ in range(len(root)):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    seen = module._hubs(spark.createDataFrame(links, "a long, b long"), len(links))
+    assert {1000, 3000} <= set(seen)
+    assert {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()} == root
+
+
 def covered(rows: list[tuple], window: int) -> Counter:
     seen: dict[tuple, int] = {}
     for i, x, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
