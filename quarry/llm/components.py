@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import discard, written
+from quarry.llm.shared import discard, files_for, written
 
 #: Links from which a node is a hub, and the part of all links; there are at most 2 * HUB_PART hubs.
 HUB, HUB_PART = 100_000, 1000
@@ -35,15 +35,16 @@ def _with_least(links: DataFrame, node: str, least: DataFrame, hubs: list[int])
     return links.where(~hub(links)).join(least.where(~hub(least)), node).unionByName(links.where(hub(links)).join(F.broadcast(least.where(hub(least))), node))
 
 
-def components(links: DataFrame, rounds: int = 200) -> DataFrame:
+def components(links: DataFrame, expected: int | None = None, rounds: int = 200) -> DataFrame:
     """(node, root) of each node of links(a, b): root is the smallest node of its component.
 
     Alternates two steps until nothing changes. Large star: each node links its larger neighbours to the smallest node it
     knows. Small star: each node links its smaller neighbours, and itself, to the smallest of them. Each step is one
-    grouped minimum and one join. Self links count as nodes; nulls are left out.
+    grouped minimum and one join. Self links count as nodes; nulls are left out. expected: about how many links there are.
     """
     given = links.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    given = written(given, "links")
+    spark = links.sparkSession
+    given = written(given, "links", expected and files_for(spark, expected))
     nodes = given.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     edges, before, n = given, None, given.count()
     for _ in range(rounds):
@@ -53,7 +54,7 @@ def components(links: DataFrame, rounds: int = 200) -> DataFrame:
         large = _with_least(both, "u", least, hubs).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = _with_least(large, "a", small_least, hubs).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a != b").distinct()
-        old, edges = edges, written(small, "links")
+        old, edges = edges, written(small, "links", files_for(spark, n))
         if old is not given:
             discard(old)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

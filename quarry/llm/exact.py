@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import SPACE, id_key, rows_of, written
+from quarry.llm.shared import SPACE, files_for, id_key, rows_of, written
 
 #: Distinct digests of a shard of the index: some MB of digests and locators.
 SHARD_DIGESTS = 50_000
@@ -149,7 +149,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
     Null ids come after all others; of rows that share id and text any one stays."""
     kept = exact_dedup(docs).where("kept").select(id_key(F.col("doc_id")).alias("__q_id"), F.unhex("text_sha256").alias("__q_digest"))
-    wanted = written(kept.groupBy("__q_id", "__q_digest").agg(F.count(F.lit(1)).alias("n")), "wanted")
+    wanted = written(kept.groupBy("__q_id", "__q_digest").agg(F.count(F.lit(1)).alias("n")), "wanted", files_for(docs.sparkSession, docs.count()))
     return rows_of(docs, {"__q_id": id_key(F.col("doc_id")), "__q_digest": F.unhex(F.sha2(normalised(F.col("text")), 256))}, wanted)
 
 

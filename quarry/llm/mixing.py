@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import WORD, id_key, n_words, own_columns, partitions, written
+from quarry.llm.shared import WORD, files_for, id_key, n_words, own_columns, partitions, written
 
 #: Times that a document may be taken.
 EPOCHS = 3
@@ -75,13 +75,13 @@ def packets(queue: DataFrame) -> DataFrame:
     return made.select("row", "source_rank", "begin", "words", ((F.col("begin") + F.col("words")) / F.col("target")).alias("finish"))
 
 
-def served(all_packets: DataFrame, budget: int) -> DataFrame:
+def served(all_packets: DataFrame, budget: int, files: int) -> DataFrame:
     """(row, taken): the words of each row in the first `budget` words of the packets, in the order of their finish.
 
     What comes to the driver is a number for each part of the range sort; one part, where the budget ends, has running sums."""
     order = ("finish", "source_rank", "begin")
     spark = all_packets.sparkSession
-    parts = written(all_packets.repartitionByRange(partitions(spark), *order).withColumn("part", F.spark_partition_id()), "packets")
+    parts = written(all_packets.repartitionByRange(partitions(spark), *order).withColumn("part", F.spark_partition_id()), "packets", files)
     before, last = 0, -1
     for part, n in sorted(map(tuple, parts.groupBy("part").agg(F.sum("words")).collect())):
         last = part
@@ -106,8 +106,10 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), order.alias("key")), "sizes")
-    queue = written(queues(rows), "queues")
-    taken = served(packets(queue), rows.agg(F.sum("size")).first()[0] or 0)
+    n, words = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
+    few = files_for(docs.sparkSession, n)
+    queue = written(queues(rows), "queues", few)
+    taken = served(packets(queue), words or 0, few)
     finish = F.when(F.col("target") > 0, (F.col("start") + F.col("size")) / F.col("target"))
     return queue.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), finish.alias("finish"))
 

@@ -32,10 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and outlives any executor."""
+#: Rows of narrow tables that a file holds, at least, but for FILES of them.
+FILE_ROWS, FILES = 20_000, 8
+
+
+def files_for(spark: SparkSession, rows: int) -> int:
+    """Into how many files about so many narrow rows are written: no more than there are shuffle partitions."""
+    return max(FILES, min(partitions(spark), rows // FILE_ROWS))
+
+
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage, and outlives any executor. files: how many at most."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import similar
 from quarry.llm.components import components
-from quarry.llm.shared import id_key, partitions, rows_of, written
+from quarry.llm.shared import files_for, id_key, partitions, rows_of, written
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
 #: Shingles whose bits are counted at once.
@@ -180,8 +180,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     each a row; an empty table gives none; other columns are not read.
     """
     rows = written(fingerprints(docs, shingle), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(near_links(classes.select("fp")))
+    n = rows.count()
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes", files_for(docs.sparkSession, n))
+    roots = components(near_links(classes.select("fp")), n)
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(least, "root").select("fp", "component_id")
@@ -193,7 +194,8 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Null ids come after all others; rows that share the id go by their text's hash, and of wholly repeated ones any stays.
     """
+    few = files_for(docs.sparkSession, docs.count())
     rows = similar.groups(docs).groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("x"))
-    wanted = written(first.select(id_key(F.col("x.doc_id")).alias("__q_id"), F.col("x.text_hash").alias("__q_text"), F.col("x.n").alias("n")), "wanted")
+    wanted = written(first.select(id_key(F.col("x.doc_id")).alias("__q_id"), F.col("x.text_hash").alias("__q_text"), F.col("x.n").alias("n")), "wanted", few)
     return rows_of(docs, {"__q_id": id_key(F.col("doc_id")), "__q_text": similar.text_hash(F.col("text"))}, wanted)
