@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.shared import own_columns
+from quarry.llm.shared import lean, own_columns
 from quarry.llm.vocabulary import default_path
 
 #: Longer words are scaled, at every SCALED-th letter, so that their probabilities stay within a double's range.
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, path: str | None = None) -> tuple[list[str], np.ndarray
             yield from counted()
 
     learn = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = learn.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, "lang string, piece long, n long")
+    counts = learn.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(lean(run), "lang string, piece long, n long")
     found = counts.groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     total = np.zeros((pieces(path).other + 1, len(langs)))
@@ -258,7 +258,7 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str |
             if len(chunks) > KEPT:
                 chunks, scores = _Numbered(), scores[:0]
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__q_lang", T.StringType()), T.StructField("__q_score", T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("__q_lang", T.StringType()), T.StructField("__q_score", T.DoubleType())]))
 
 
 def predict(docs: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -99,3 +103,16 @@ def rows_of(docs: DataFrame, keys: dict[str, Column], wanted: DataFrame) -> Data
         order = W.partitionBy(*keys).orderBy(F.xxhash64(*docs.columns))
         found = found.withColumn("__q_nth", F.row_number().over(order)).where("__q_nth = 1")
     return found.select(*docs.columns)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, in a Python worker that gives memory back as soon as it is free: workers live on after their tasks."""
+
+    def returning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(batches)
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:  # of the GNU library only
+            trim(0)
+
+    return returning

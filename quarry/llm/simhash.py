@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import similar
 from quarry.llm.components import components
-from quarry.llm.shared import files_for, id_key, partitions, rows_of, written
+from quarry.llm.shared import files_for, id_key, lean, partitions, rows_of, written
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
 #: Shingles whose bits are counted at once.
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
     text = F.col("text").cast("string").cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _blocks(bits: list[int]) -> list[list[int]]:
@@ -168,8 +168,8 @@ def near_links(distinct: DataFrame) -> DataFrame:
             yield done(rest_k, rest_f)
 
     n = partitions(distinct.sparkSession)
-    met = distinct.mapInArrow(keyed, "key long, fp long").repartition(n, "key").sortWithinPartitions("key")
-    return met.mapInArrow(links, "a long, b long").distinct()
+    met = distinct.mapInArrow(lean(keyed), "key long, fp long").repartition(n, "key").sortWithinPartitions("key")
+    return met.mapInArrow(lean(links), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
