@@ -75,10 +75,12 @@ class LexicalIndex:
         avgdl = total / n_docs if total else 1.0
         if not weights:
             return cls(docs, tf, n_docs, avgdl, mode)
-        raw = tf.join(document_frequencies(tf), "term").withColumn("raw", (1 + F.log("tf")) * tfidf_idf(F.col("df"), F.lit(n_docs)))
+        # a table of its own: small enough it is broadcast, and otherwise the postings of a term in all documents are split
+        df = stored(document_frequencies(tf), "frequencies")
+        raw = tf.join(df, "term").withColumn("raw", (1 + F.log("tf")) * tfidf_idf(F.col("df"), F.lit(n_docs)))
         norms = raw.groupBy("doc_idx").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
         known = raw.join(norms, "doc_idx").select("term", "doc_idx", "tf", "dl", "df", F.when(F.col("norm") > 0, F.col("raw") / F.col("norm")).otherwise(F.col("raw")).alias("w"))
-        return cls(docs, known, n_docs, avgdl, mode)
+        return cls(docs, stored(known, "postings"), n_docs, avgdl, mode)
 
     def met(self, terms: DataFrame) -> DataFrame:
         """The postings of the query terms (query_id, term, ...), with df. Terms are looked up before they are counted, so

@@ -339,18 +339,33 @@ RANKED_SQL = f"{BASE}, {QTERMS}, {bm25_sql(1.5, 0.75)}, hi AS ({top_sql('bs')})"
 
 
 def _golds(spark, sf_dir):
-    """Benchmark texts in documents: their first words' runs are met by an equal join, and then the whole text is looked for."""
-    split = lambda c: F.split(F.col(c), r"[\x20\x09-\x0D]+")
-
-    def runs(words):
-        shifted = [words, *(F.slice(words, k + 1, F.size(words)) for k in range(1, 5))]
-        return F.array_distinct(F.transform(F.arrays_zip(*(x.alias(f"w{k}") for k, x in enumerate(shifted))), lambda x: F.concat_ws(" ", *(x[f"w{k}"] for k in range(5)))))
+    """Benchmark texts in documents: runs of a text's inner words meet those of documents, and then the whole text is looked for.
 
-    asked_ = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("wanted"), F.array_join(F.slice(split("text"), 2, 5), " ").alias("run"))
+    A text's first and last word may be parts of a document's words, so its run is of the words between, five at most. Only
+    ids are dealt by runs, for each number of words that a run has; texts join the candidates."""
+    split = lambda c: F.split(F.col(c), r"[\x20\x09-\x0D]+")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("wanted"), F.slice(split("text"), 2, F.greatest(F.lit(0), F.least(F.lit(5), F.size(split("text")) - 2))).alias("inner"))
+    items = items.select("item_id", "wanted", F.size("inner").alias("n"), F.array_join("inner", " ").alias("run"))
     docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    met = docs.select("doc_id", "text", F.explode(runs(split("text"))).alias("run")).join(asked_, "run").where(F.contains("text", "wanted"))
+    lengths = sorted(r[0] for r in items.select("n").distinct().collect())
+
+    def runs(words, n):
+        parts = F.arrays_zip(*(F.slice(words, k + 1, F.size(words)).alias(f"w{k}") for k in range(n)))
+        return F.array_distinct(F.transform(parts, lambda x: F.concat_ws(" ", *(x[f"w{k}"] for k in range(n)))))
+
+    met = None
+    for n in lengths:
+        asked_ = items.where(F.col("n") == n)
+        if n:
+            one = docs.select("doc_id", F.explode(runs(split("text"), n)).alias("run")).join(asked_.select("item_id", "run"), "run").select("item_id", "doc_id")
+        else:  # texts of one or two words have no inner ones: each is looked for in every document
+            one = docs.join(F.broadcast(asked_.select("item_id", "wanted")), F.contains("text", "wanted")).select("item_id", "doc_id")
+        met = one if met is None else met.unionByName(one)
+    if met is None:
+        met = docs.select(F.lit(None).cast("long").alias("item_id"), "doc_id").where(F.lit(False))
+    found = met.distinct().join(items.select("item_id", "wanted"), "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "wanted"))
     order = W.partitionBy("item_id").orderBy("doc_id")
-    golds = met.select("item_id", "doc_id").distinct().select(F.col("item_id").alias("query_id"), F.col("doc_id").cast("string").alias("source_path"), (F.row_number().over(order) - 1).alias("gold_idx"))
+    golds = found.select("item_id", "doc_id").distinct().select(F.col("item_id").alias("query_id"), F.col("doc_id").cast("string").alias("source_path"), (F.row_number().over(order) - 1).alias("gold_idx"))
     return golds.withColumn("start_line", F.lit(None).cast("int")).withColumn("end_line", F.lit(None).cast("int"))
 
 
@@ -545,12 +560,6 @@ def caption_dedup(spark, sf_dir):
     return _cues(spark).select(F.inline(captions.paragraphs(captions.without_repeats(F.col("cues")))))
 
 
-@query("WITH l AS (SELECT doc_id, source, trim(regexp_extract(text, '^[^\\n]*'), ' ' || chr(9) || chr(13)) AS line FROM documents), n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1) SELECT source, line, count(*) AS pages FROM l JOIN n USING (source) WHERE line <> '' GROUP BY source, line, n HAVING n >= 5 AND count(*) > 0.01 * n")
-def header_footer_lines(spark, sf_dir):
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("text"))
-    return files.running_lines(pages, share=0.01).select(F.col("doc").alias("source"), "line", "pages")
-
-
 @query(
     r"""
 WITH b AS (SELECT source, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(x, '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g')), lambda x: x <> '') AS bare FROM documents),
@@ -558,7 +567,7 @@ e AS (SELECT source, 'head' AS place, bare[1] AS line FROM b WHERE len(bare) > 0
 n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
 SELECT source, place, line FROM e JOIN n USING (source) GROUP BY source, place, line, n HAVING n >= 5 AND count(*) > 0.01 * n"""
 )
-def running_heads_and_feet(spark, sf_dir):
+def header_footer_lines(spark, sf_dir):
     given = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("text"))
     return pages.running_lines(given, share=0.01).select(F.col("doc").alias("source"), "place", "line")
 
@@ -587,6 +596,3 @@ def histogram_and_median(spark, sf_dir):
 def fingerprint(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.octet_length("text").cast("long").alias("size"), F.col("n_chars").alias("mtime_ns"), F.lit(None).cast("string").alias("revision"))
     return files.fingerprint(rows)
-
-
-batch_queries_topk = lexical_rrf

@@ -29,5 +29,5 @@ def spark():
     session.stop()
 
 
-def testdata(sf: str = "sf0.001") -> str:
+def tables_at(sf: str = "sf0.001") -> str:
     return f"/root/testdata/{sf}"

@@ -109,3 +109,15 @@ def test_followed_stream(spark, tmp_path, asked):
     assert index.n_docs == 3 and index.avgdl == pytest.approx(4 / 3)
     got = lexical.top(lexical.bm25_scores(index, asked), 1).collect()
     assert [(r.query_id, r.doc_idx) for r in got] == [(1, 1)]
+
+
+def test_golds_are_all_documents_that_hold_a_text(spark, tmp_path):
+    from quarry.plans import queries
+
+    items = [(1, "alpha beta gamma delta eps"), (2, "one two"), (3, "solo"), (4, "a b c d e f g h"), (5, "beta gamma delta"), (6, "nowhere at all"), (7, "alpha beta gamma delta")]
+    texts = [(10, "say alpha beta gamma delta eps now"), (11, "xalpha beta gamma delta epsy"), (12, "one two"), (13, "one  two solo"), (14, "z a b c d e f g h"), (15, None), (16, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(i, str(d)) for i, x in items for d, t in texts if t and x in t}
+    got = [(r.query_id, r.source_path) for r in queries._golds(spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want)
