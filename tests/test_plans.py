@@ -86,15 +86,60 @@ def test_command_line(spark, tmp_path, capsys):
         assert main([*args, "--store", str(tmp_path / "store")]) == 0
         return json.loads(capsys.readouterr().out)
 
+    (tmp_path / "src" / "de.po").write_text('msgid "Open file"\nmsgstr "Datei zebra"\n\nmsgid "Close"\nmsgstr ""\n')
+    (tmp_path / "src" / "talk.mp4").write_bytes(b"\0\1")
     root = str(tmp_path / "src")
     made = run("index", root)
-    assert made["fresh"] is False and made["files"] == 3 and run("index", root)["fresh"] is True
+    assert set(made) == {"lexical", "pi-serini", "treesitter"} and made["lexical"]["fresh"] is False and made["lexical"]["files"] == 6
+    assert run("index", root, "--strategy", "lexical")["lexical"]["fresh"] is True
     found = run("query", root, "packets routes", "--top-k", "2")
-    assert found["hits"][0]["source_path"] == "a/b.md" and found["hits"][0]["rank"] == 1 and found["hits"][0]["snippet"].startswith("# Paths")
-    assert run("stats", root)["n_files"] == 3 and run("tune", root)["tokenizer"] in ("plain", "code")
-    assert run("eval", root, str(tmp_path / "labels.json"))["lexical"]["recall"] == 1.0
-    assert run("extract", root)["states"] == {"t.srt": "ok"}
-    assert main(["query", str(tmp_path / "none"), "x", "--store", str(tmp_path / "s2")]) == 1
+    best = found["hits"][0]
+    assert best["source_path"] == "a/b.md" and best["rank"] == 1 and best["snippet"].startswith("# Paths")
+    assert best["confidence"] == "high" and best["provenance"] == ["lexical", "pi-serini", "treesitter"] and best["agreement"] == 3
+    # one strategy, weights, captions, records, a transcript that is registered later
+    one = run("query", root, "packets routes", "--strategy", "pi-serini", "--lucene-k1", "1.4")
+    assert one["hits"][0]["rank"] == 1 and "confidence" not in one["hits"][0]
+    even, heavy = (run("query", root, "packets routes", "--top-k", "1", "--weights", w)["hits"][0]["score"] for w in ("lexical=1", "lexical=4,treesitter=0"))
+    assert heavy > even
+    assert run("query", root, "spoken words")["hits"][0]["source_path"] == "t.srt"
+    assert run("query", root, "zebra")["hits"][0]["docid"] == "de.po:1-2"
+    assert all(h["source_path"] != "talk.mp4" for h in run("query", root, "hippopotamus", "--strategy", "pi-serini")["hits"])
+    (tmp_path / "said.txt").write_text("a hippopotamus speaks")
+    assert run("sidecar", root, "talk.mp4", str(tmp_path / "said.txt"))["registered"] == "talk.mp4"
+    assert run("query", root, "hippopotamus", "--strategy", "pi-serini")["hits"][0]["source_path"] == "talk.mp4"
+    assert run("stats", root)["n_files"] == 4
+    tuned = run("tune", root, "--bm25-k1", "2.5")
+    assert tuned["tokenizer"] in ("plain", "code") and tuned["bm25_k1"] == 2.5 and "warning" in tuned
+    told = run("eval", root, str(tmp_path / "labels.json"), "--repeats", "1")
+    assert told["lexical"]["recall"] == told["consolidated"]["recall"] == 1.0 and told["lexical"]["seconds_median"] > 0
+    assert {r["arm"] for r in told["by_query"]} == {"lexical", "pi-serini", "treesitter", "consolidated"} and [r["confidence"] for r in told["by_confidence"]] == ["high", "medium", "low"]
+    assert run("extract", root)["states"] == {"t.srt": "ok", "talk.mp4": "agent-authored"}
+    for wrong in (["query", root, " "], ["query", root, "x", "--top-k", "0"], ["query", root, "x", "--weights", "none=1"], ["query", root, "x", "--weights", "lexical=-1"], ["query", str(tmp_path / "none"), "x"]):
+        assert main([*wrong, "--store", str(tmp_path / "store")]) == 1
+
+
+def test_record_loaders(spark):
+    from quarry.sources import records
+
+    def lines_of(rows):
+        one = rows.select("path", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+        nothing = F.lit(None).cast("string")
+        return one.select(F.concat_ws(":", "path", F.col("n").cast("string")).alias("docid"), "text", F.lit("").alias("url"), F.col("path").alias("source_path"), (F.col("n") + 1).alias("start_line"), (F.col("n") + 1).alias("end_line"), F.lit("").alias("context"), nothing.alias("metadata"))
+
+    own = records.Registry()
+    texts = spark.createDataFrame([("x/A.LOG", "one\ntwo"), ("b.md", "plain"), (".log", "a name")], "path string, text string")
+    assert own.documents(texts).collect() == [] and own.split(texts)[0].count() == 3
+    own.register(".log", lines_of)
+    assert own.lookup("x/A.LOG") is lines_of and own.lookup(".log") is None and own.lookup("b.md") is None and own.suffixes() == [".log"]
+    plain, held = own.split(texts)
+    assert {r.path for r in plain.collect()} == {"b.md", ".log"}
+    assert sorted((r.docid, r.text, r.start_line) for r in own.documents(held).collect()) == [("x/A.LOG:0", "one", 1), ("x/A.LOG:1", "two", 2)]
+    for wrong in (lambda: own.register(".LOG", lines_of), lambda: own.register("log", lines_of)):
+        with pytest.raises(ValueError):
+            wrong()
+    own.register(".log", lines_of, replace=True)
+    own.unregister(".log")
+    assert own.suffixes() == [] and records.REGISTRY.suffixes() == [".po"]
 
 
 def test_followed_stream(spark, tmp_path, asked):
