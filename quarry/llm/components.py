@@ -38,7 +38,7 @@ def _with_least(links: DataFrame, node: str, least: DataFrame, hubs: list[int])
 def components(links: DataFrame, expected: int | None = None, rounds: int = 200) -> DataFrame:
     """(node, root) of each node of links(a, b): root is the smallest node of its component.
 
-    Alternates two steps until nothing changes. Large star: each node links its larger neighbours to the smallest node it
+    Alternates two steps until all links are stars. Large star: each node links its larger neighbours to the smallest node it
     knows. Small star: each node links its smaller neighbours, and itself, to the smallest of them. Each step is one
     grouped minimum and one join. Self links count as nodes; nulls are left out. expected: about how many links there are.
     """
@@ -46,7 +46,7 @@ def components(links: DataFrame, expected: int | None = None, rounds: int = 200)
     spark = links.sparkSession
     given = written(given, "links", expected and files_for(spark, expected))
     nodes = given.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    edges, before, n = given, None, given.count()
+    edges, n = given, given.count()
     for _ in range(rounds):
         hubs = _hubs(edges, n)
         both = edges.where("a != b").select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x")).select("x.*")
@@ -57,10 +57,12 @@ def components(links: DataFrame, expected: int | None = None, rounds: int = 200)
         old, edges = edges, written(small, "links", files_for(spark, n))
         if old is not given:
             discard(old)
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
+        # stars: each node that points somewhere points to one node, and nothing points to it
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("points")), F.struct(F.col("b").alias("node"), F.lit(0).alias("points")))).alias("x")).select("x.*")
+        nodes_ = ends.groupBy("node").agg(F.sum("points").alias("out"), F.count(F.lit(1)).alias("all"))
+        n, other = nodes_.agg(F.coalesce(F.sum("out"), F.lit(0)), F.coalesce(F.max((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("all") > F.col("out")))), F.lit(False))).first()
+        if not other:
             break
-        before, n = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.groupBy("a").agg(F.min("b").alias("root"))
