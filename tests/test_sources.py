@@ -161,5 +161,5 @@ def test_labelled_queries(spark, tmp_path):
 def test_running_heads_and_feet(spark, tmp_path):
     rows = [("a", f"\n \nHead\nbody {i}\nFoot\n\n") for i in range(6)] + [("b", f"x{i}\nLine") for i in range(4)] + [("a", None), ("a", " \n")]
     spark.createDataFrame(rows, "source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {tuple(r) for r in QUERIES["running_heads_and_feet"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in QUERIES["header_footer_lines"](spark, str(tmp_path)).collect()}
     assert got == {("a", "head", "Head"), ("a", "foot", "Foot")}
