@@ -151,13 +151,34 @@ def zero_filled(found: DataFrame, docs: DataFrame, queries: DataFrame, k: int, s
     return found.select("query_id", "doc_idx", score, F.col("rank").cast("int").alias("rank")).unionByName(filler)
 
 
+def placed(some: DataFrame, scores: DataFrame, score: str, rank: str) -> DataFrame:
+    """some(query_id, doc_idx, score, ...), rows of scores, with their 0-based rank among all rows of scores of the query.
+
+    No query's scores are sorted: each is dealt to the gap between the few that are ranked, and the gaps' counts add up."""
+    key = F.struct((-F.col(score)).alias("s"), F.col("doc_idx").alias("d"))
+    edges = some.groupBy("query_id").agg(F.array_sort(F.collect_set(key)).alias("edges"))
+    near = scores.join(edges, "query_id").where(key <= F.element_at("edges", -1))
+    gaps = near.groupBy("query_id", F.size(F.filter("edges", lambda e: e < key)).alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    upto = gaps.withColumn(rank, F.sum("n").over(W.partitionBy("query_id").orderBy("place")) - 1).drop("n")
+    at = edges.select("query_id", F.posexplode("edges").alias("place", "edge")).select("query_id", "place", F.col("edge.d").alias("doc_idx"))
+    return some.join(at.join(upto, ["query_id", "place"]).drop("place"), ["query_id", "doc_idx"])
+
+
 def lexical_search(index: LexicalIndex, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_idx, score, rank): the top k by reciprocal rank fusion of the whole TF-IDF and BM25 rankings.
 
     Ties go by TF-IDF rank. No query comes back with fewer than k, or all, documents: those without a common term follow
-    by doc_idx, with the score that their equal ranks in both arms give."""
-    scores = lexical_scores(index, queries, k1, b)
-    arms = ranked(ranked(scores, "tfidf", "t"), "bm25", "m")
+    by doc_idx, with the score that their equal ranks in both arms give.
+
+    The k best of one arm have more than 1 / (RRF_K + k) each, and a document that neither arm has among its first
+    RRF_K + 2k has less; so only these are fused, with their ranks in both arms."""
+    scores = stored(lexical_scores(index, queries, k1, b), "scores")
+    deep = RRF_K + 2 * k
+    firsts = [top(scores, deep, score).withColumnRenamed("rank", rank) for score, rank in (("tfidf", "t"), ("bm25", "m"))]
+    arms = stored(firsts[0].join(firsts[1], ["query_id", "doc_idx", "tfidf", "bm25"], "full"), "candidates")
+    for score, rank in (("tfidf", "t"), ("bm25", "m")):
+        known = F.col(rank).isNotNull()
+        arms = arms.where(known).unionByName(placed(arms.where(~known).drop(rank), scores, score, rank))
     fused = arms.withColumn("score", F.lit(1.0) / (RRF_K + 1 + F.col("t")) + F.lit(1.0) / (RRF_K + 1 + F.col("m")))
     best = fused.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "t")) - 1).where(F.col("rank") < k)
     filled = zero_filled(stored(best, "fused"), index.docs, queries, k)

@@ -255,3 +255,28 @@ def test_precedence_and_empty_corpus(spark):
     assert (got["bm25_k1"], got["bm25_b"], got["bit_width"], got["tokenizer"]) == (9.0, 0.75, 4, "plain")
     assert one(spark, 600.0, tuning.top_k, "double") == 5 and one(spark, 200.0, tuning.top_k, "double") == 8 and one(spark, None, tuning.top_k, "double") == 5
     assert tuning.thin_warning(3.0) and tuning.thin_warning(20.0) is None
+
+
+def test_fused_top_is_that_of_whole_rankings(spark):
+    """The fusion of few candidates against both rankings sorted whole, with ties and a term in all rows."""
+    rng = random.Random(3)
+    words = ["common", *(f"w{i}" for i in range(12))]
+    docs = [(i, str(i), "common " + " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))) for i in range(400)]
+    index = lexical.LexicalIndex.of(spark.createDataFrame(docs, "doc_idx long, docid string, text string"))
+    asked = spark.createDataFrame([(q, " ".join(rng.choice(words) for _ in range(4))) for q in range(6)], "query_id int, query string")
+    k, by = 3, {}
+    for r in lexical.lexical_scores(index, asked).collect():
+        by.setdefault(r.query_id, []).append((r.doc_idx, r.tfidf, r.bm25))
+    want = {}
+    for q, rows in by.items():
+        t = {d: i for i, (d, *_) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+        m = {d: i for i, (d, *_) in enumerate(sorted(rows, key=lambda r: (-r[2], r[0])))}
+        want[q] = sorted(t, key=lambda d: (-round(1 / (61 + t[d]) + 1 / (61 + m[d]), 12), t[d]))[:k]
+    got = {}
+    for r in lexical.lexical_search(index, asked, k).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_idx)
+    assert got == want and len(got) == 6
+    some = lexical.lexical_scores(index, asked).where("doc_idx % 7 = 0")
+    ranks = lexical.placed(some, lexical.lexical_scores(index, asked), "bm25", "m").collect()
+    whole = {(q, d): i for q, rows in by.items() for i, (d, *_) in enumerate(sorted(rows, key=lambda r: (-r[2], r[0])))}
+    assert len(ranks) > 6 and all(r.m == whole[r.query_id, r.doc_idx] for r in ranks)
