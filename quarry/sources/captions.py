@@ -1,13 +1,17 @@
 """Timed captions (.srt, .vtt): cues, paragraphs, sections and transcripts, in DataFrame terms.
 
-Folds that start anew by their own state (a paragraph's length, a section's start) are aggregates over a file's ordered
-cues; a file's cues are one array, as its transcript is one text.
+Folds that start anew by their own state (a paragraph's length, a section's start) are one linear pass over a file's ordered
+cues, in Arrow batches; a file's cues are one array, as its transcript is one text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.text import clock, cue_text, seconds, strip
 
@@ -15,7 +19,8 @@ GAP_SECONDS, PARAGRAPH_CHARS, SECTION_SECONDS, LABEL_WORDS = 2.0, 400, 180.0, 8
 STAMP = r"(\d{2}:\d{2}:\d{2}[.,]\d{3}|\d{2}:\d{2}[.,]\d{3})"
 TIMING = rf"{STAMP}\s*-->\s*{STAMP}"
 CUE = "struct<start_s:double,end_s:double,text:string>"
-PART = "struct<start_s:double,text:string>"
+PARAGRAPHS = T.ArrayType(T.StructType([T.StructField("start_s", T.DoubleType()), T.StructField("text", T.StringType())]))
+PARTS = pa.list_(pa.struct([("start_s", pa.float64()), ("text", pa.string())]))
 
 
 def decoded(content: Column) -> Column:
@@ -53,36 +58,40 @@ def without_repeats(cue_array: Column) -> Column:
     return F.filter(cue_array, lambda c, i: (i == 0) | (c["text"] != F.get(cue_array, F.greatest(i - 1, F.lit(0)))["text"]))
 
 
-def paragraphs(cue_array: Column) -> Column:
-    """Paragraphs with their start: one ends after a pause, or before it would be too long."""
-    start = F.struct(F.array().cast(f"array<{PART}>").alias("done"), F.lit(None).cast("double").alias("start_s"), F.lit(None).cast("double").alias("end_s"), F.array().cast("array<string>").alias("held"), F.lit(0).alias("size"))
-
-    def flushed(s: Column) -> Column:
-        return F.when(F.size(s["held"]) > 0, F.concat(s["done"], F.array(F.struct(s["start_s"].alias("start_s"), F.array_join(s["held"], " ").alias("text"))))).otherwise(s["done"])
+@F.arrow_udf(PARAGRAPHS)
+def paragraphs(cue_arrays: pa.Array) -> pa.Array:
+    """Paragraphs with their start, of arrays of cues: one ends after a pause, or before it would be too long."""
 
-    def step(s: Column, c: Column) -> Column:
-        size = F.length(c["text"])
-        new = s["start_s"].isNull() | (c["start_s"] - s["end_s"] > GAP_SECONDS) | (s["size"] + size > PARAGRAPH_CHARS)
-        return F.struct(
-            F.when(new, flushed(s)).otherwise(s["done"]).alias("done"), F.when(new, c["start_s"]).otherwise(s["start_s"]).alias("start_s"), c["end_s"].alias("end_s"),
-            F.when(new, F.array(c["text"])).otherwise(F.concat(s["held"], F.array(c["text"]))).alias("held"), F.when(new, size).otherwise(s["size"] + size).alias("size"),
-        )
+    def folded(cue_array: list[dict]) -> Iterator[dict]:
+        opened, ended, held, size = None, None, [], 0
+        for c in cue_array:
+            if held and (c["start_s"] - ended > GAP_SECONDS or size + len(c["text"]) > PARAGRAPH_CHARS):
+                yield {"start_s": opened, "text": " ".join(held)}
+                held, size = [], 0
+            opened = opened if held else c["start_s"]
+            held.append(c["text"])
+            ended, size = c["end_s"], size + len(c["text"])
+        if held:
+            yield {"start_s": opened, "text": " ".join(held)}
 
-    return F.aggregate(cue_array, start, step, flushed)
+    return pa.array([None if x is None else list(folded(x)) for x in cue_arrays.to_pylist()], PARTS)
 
 
-def sections(paras: Column) -> Column:
+@F.arrow_udf(T.ArrayType(PARAGRAPHS))
+def sections(para_arrays: pa.Array) -> pa.Array:
     """Arrays of paragraphs: a section starts where a paragraph is SECTION_SECONDS or more after the section's start."""
-    start = F.struct(F.array().cast(f"array<array<{PART}>>").alias("done"), F.array().cast(f"array<{PART}>").alias("held"), F.lit(None).cast("double").alias("opened"))
-
-    def flushed(s: Column) -> Column:
-        return F.when(F.size(s["held"]) > 0, F.concat(s["done"], F.array(s["held"]))).otherwise(s["done"])
-
-    def step(s: Column, p: Column) -> Column:
-        new = s["opened"].isNull() | (p["start_s"] - s["opened"] >= SECTION_SECONDS)
-        return F.struct(F.when(new, flushed(s)).otherwise(s["done"]).alias("done"), F.when(new, F.array(p)).otherwise(F.concat(s["held"], F.array(p))).alias("held"), F.when(new, p["start_s"]).otherwise(s["opened"]).alias("opened"))
 
-    return F.aggregate(paras, start, step, flushed)
+    def folded(paras: list[dict]) -> Iterator[list[dict]]:
+        held: list[dict] = []
+        for p in paras:
+            if held and p["start_s"] - held[0]["start_s"] >= SECTION_SECONDS:
+                yield held
+                held = []
+            held.append(p)
+        if held:
+            yield held
+
+    return pa.array([None if x is None else list(folded(x)) for x in para_arrays.to_pylist()], pa.list_(PARTS))
 
 
 def section_text(section: Column) -> Column:

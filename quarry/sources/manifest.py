@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import basename, strip, suffix
+from quarry.sources import extractors
 from quarry.sources.captions import decoded, transcripts
 from quarry.sources.files import AGENT_READ, TOOL_READ
 
@@ -14,12 +18,14 @@ AGENT_VERSION, PDF_VERSION = "agent-authored/1", "pdf-text/1"
 MAX_CHARS = 1_000_000
 MARKER = "\n\n_[transcript truncated: exceeded extraction size budget]_"
 UNIT = r"(?m)^## (?:Page \d+|\[\d{2}:\d{2}:\d{2}\][^\n]*)\s*$"
+HEADER = re.compile(r"\A(?:<!--[^\n]*-->\n)+")
+UNIT_START = re.compile(r"^(?=## (?:Page [0-9]+\s*$|\[[0-9]{2}:[0-9]{2}:[0-9]{2}\]))", re.MULTILINE)
 ENTRY = "rel string, sha256 string, source_bytes long, identity string, extractor_version string, sidecar string, sidecar_bytes long, pages int, status string, reason string, truncated boolean, authored_by string, authored_at string, sidecar_sha256 string"
 
 
-def version(path: Column) -> Column:
+def version(path: Column, readers: extractors.Registry = extractors.REGISTRY) -> Column:
     out = F.lit(PDF_VERSION)
-    for end, name in VERSIONS.items():
+    for end, name in (VERSIONS | readers.versions()).items():
         out = F.when(suffix(path) == end, name).otherwise(out)
     return out
 
@@ -36,13 +42,14 @@ def states(sources: DataFrame, manifest: DataFrame) -> DataFrame:
     return sources.join(known, "rel", "left").select("rel", state.alias("state"))
 
 
-def to_extract(sources: DataFrame, manifest: DataFrame, backend: bool = False, force: bool = False) -> DataFrame:
+def to_extract(sources: DataFrame, manifest: DataFrame, readers: extractors.Registry = extractors.REGISTRY, force: bool = False) -> DataFrame:
     """The sources whose manifest entry is no hit: absent, of other bytes or an unknown version, without transcript, or a
-    stub for want of a backend that is there now."""
+    stub for want of a reader that is there now."""
     if force:
         return sources
-    versions = [*VERSIONS.values(), AGENT_VERSION, PDF_VERSION]
-    hit = manifest.where(F.col("extractor_version").isin(*versions) & (F.coalesce("status", F.lit("")) != "") & (F.coalesce("sidecar", F.lit("")) != "") & (F.lit(not backend) | (F.coalesce("reason", F.lit("")) != "backend-missing")))
+    versions = {*VERSIONS.values(), *readers.versions().values(), AGENT_VERSION, PDF_VERSION}
+    missed = (F.coalesce("reason", F.lit("")) == "backend-missing") & suffix(F.col("rel")).isin(*readers.suffixes()) if readers.suffixes() else F.lit(False)
+    hit = manifest.where(F.col("extractor_version").isin(*versions) & (F.coalesce("status", F.lit("")) != "") & (F.coalesce("sidecar", F.lit("")) != "") & ~missed)
     return sources.join(hit.select("rel", "sha256"), ["rel", "sha256"], "left_anti")
 
 
@@ -63,22 +70,32 @@ def rendered(rel: Column, text: Column, status: Column, reason: Column, made_by:
     return F.concat(head, F.when(status == "ok", F.concat(F.lit("\n"), text)).otherwise(stub))
 
 
+def cut_at_unit(text: str, limit: int) -> str:
+    """A text over the limit, cut before the first unit that passes it, or anywhere without units; one linear pass."""
+    bare = HEADER.sub("", text)
+    if len(bare) <= limit:
+        return bare
+    units = [u.rstrip("\n") for u in UNIT_START.split(bare) if UNIT_START.match(u)]
+    if not units:
+        return bare[: max(0, limit - len(MARKER))] + MARKER
+    kept, size = [], 0
+    for u in units:
+        more = len(u) + (2 if kept else 0)
+        if kept and size + more + len(MARKER) > limit:
+            break
+        kept.append(u)
+        size += more
+    return "\n\n".join(kept) + MARKER
+
+
 def truncated_at_unit(text: Column, limit: int = MAX_CHARS) -> Column:
     """A text over the limit, cut before the first unit (page, timed section) that passes it, or anywhere without units."""
-    bare = F.regexp_replace(text, r"\A(?:<!--[^\n]*-->\n)+", "")
-    units = F.filter(F.split(bare, r"(?m)(?=^## (?:Page \d+\s*$|\[\d{2}:\d{2}:\d{2}\]))"), lambda u: u.rlike(r"\A## (?:Page \d+|\[\d{2}:)"))
-    trimmed = F.transform(units, lambda u: F.regexp_replace(u, "\n+$", ""))
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("n"), F.lit(False).alias("full"))
 
-    def step(s: Column, u: Column) -> Column:
-        first = F.size(s["kept"]) == 0
-        n = F.length(u) + F.when(first, 0).otherwise(2)
-        full = s["full"] | (~first & (s["n"] + n + len(MARKER) > limit))
-        return F.struct(F.when(full, s["kept"]).otherwise(F.concat(s["kept"], F.array(u))).alias("kept"), F.when(full, s["n"]).otherwise(s["n"] + n).alias("n"), full.alias("full"))
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else cut_at_unit(x, limit) for x in texts.to_pylist()], pa.string())
 
-    by_unit = F.concat(F.array_join(F.aggregate(trimmed, start, step)["kept"], "\n\n"), F.lit(MARKER))
-    plain = F.concat(F.substring(bare, 1, limit - len(MARKER)), F.lit(MARKER))
-    return F.when(F.length(bare) <= limit, bare).when(F.size(units) > 0, by_unit).otherwise(plain)
+    return cut(text)
 
 
 def registered(transcripts_: DataFrame) -> DataFrame:
@@ -88,12 +105,13 @@ def registered(transcripts_: DataFrame) -> DataFrame:
     return made.select("rel", "sha256", "source_bytes", F.lit(AGENT_VERSION).alias("extractor_version"), F.regexp_count("transcript", F.lit(UNIT)).alias("pages"), F.lit("ok").alias("status"), F.lit("").alias("reason"), (F.length("transcript") > MAX_CHARS).alias("truncated"), F.lit("agent").alias("authored_by"), F.sha2("sidecar_text", 256).alias("sidecar_sha256"), "sidecar_text")
 
 
-def extracted(sources: DataFrame) -> DataFrame:
-    """(rel, text, status, reason, pages) of sources(rel, content): captions are transcribed, other media are stubs that
-    say how they may be read; PDF pages need a backend that isn't here."""
+def extracted(sources: DataFrame, readers: extractors.Registry = extractors.REGISTRY) -> DataFrame:
+    """(rel, text, status, reason, pages) of sources(rel, content): captions are transcribed, files that a reader is
+    registered for become their pages, all others are stubs that say how they may be read."""
     end = suffix(F.col("rel"))
-    timed = transcripts(sources.where(end.isin(".srt", ".vtt")).select(F.col("rel").alias("path"), decoded(F.col("content")).alias("text"))).withColumnRenamed("path", "rel")
+    read = end.isin(*readers.suffixes()) if readers.suffixes() else F.lit(False)
+    timed = transcripts(sources.where(end.isin(".srt", ".vtt") & ~read).select(F.col("rel").alias("path"), decoded(F.col("content")).alias("text"))).withColumnRenamed("path", "rel")
     reason = F.when(end.isin(*TOOL_READ), "agent-orchestrated").when(end.isin(*AGENT_READ), "agent-only").otherwise("backend-missing")
     said = F.when(end.isin(*TOOL_READ), "Audio or video: a speech recogniser has to be run and its transcript registered.").when(end.isin(*AGENT_READ), "An agent has to read this file and register a transcript.").otherwise("The backend for this format is not installed.")
-    stubs = sources.where(~end.isin(".srt", ".vtt")).select("rel", said.alias("text"), F.lit("stub").alias("status"), reason.alias("reason"), F.lit(0).alias("pages"))
-    return timed.unionByName(stubs)
+    stubs = sources.where(~end.isin(".srt", ".vtt") & ~read).select("rel", said.alias("text"), F.lit("stub").alias("status"), reason.alias("reason"), F.lit(0).alias("pages"))
+    return timed.unionByName(stubs).unionByName(readers.transcripts(sources))

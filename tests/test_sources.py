@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.plans.queries import QUERIES
@@ -163,3 +164,41 @@ def test_running_heads_and_feet(spark, tmp_path):
     spark.createDataFrame(rows, "source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(r) for r in QUERIES["header_footer_lines"](spark, str(tmp_path)).collect()}
     assert got == {("a", "head", "Head"), ("a", "foot", "Foot")}
+
+
+def test_extractors(spark):
+    from quarry.sources.extractors import SAID, Registry, Unreadable
+
+    def read(content: bytes) -> list[str]:
+        if content == b"locked":
+            raise Unreadable("encrypted")
+        return content.decode().split("|") if content else []
+
+    long = "word " * 40
+    own = Registry()
+    rows = [("x/A.PDF", f"{long}|{long}".encode()), ("b.pdf", b"locked"), ("c.pdf", b""), ("d.pdf", b"thin"), ("e.mp4", None)]
+    sources = spark.createDataFrame(rows, "rel string, content binary")
+    assert own.transcripts(sources).count() == 0 and own.lookup("x/A.PDF") is None
+    own.register(".pdf", read, "mine/1")
+    assert own.lookup("x/A.PDF") is read and own.lookup(".pdf") is None and own.suffixes() == [".pdf"] and own.versions() == {".pdf": "mine/1"}
+    got = {r.rel: r for r in manifest.extracted(sources, own).collect()}
+    assert {k: (r.status, r.reason, r.pages) for k, r in got.items()} == {"x/A.PDF": ("ok", "", 2), "b.pdf": ("stub", "encrypted", 0), "c.pdf": ("stub", "empty", 0), "d.pdf": ("stub", "no-text-layer", 1), "e.mp4": ("stub", "agent-orchestrated", 0)}
+    assert got["x/A.PDF"].text.startswith("## Page 1\n\nword word") and got["b.pdf"].text == SAID["encrypted"]
+    # a stub for want of a reader is due again once there is one
+    hashed = sources.selectExpr("rel", "rel as sha256", "content")
+    stub = spark.createDataFrame([("b.pdf", "b.pdf", "pdf-text/1", "b.pdf.md", "stub", "backend-missing"), ("e.mp4", "e.mp4", "pdf-text/1", "e.md", "stub", "agent-orchestrated")], "rel string, sha256 string, extractor_version string, sidecar string, status string, reason string")
+    assert "b.pdf" not in {r.rel for r in manifest.to_extract(hashed, stub, Registry()).collect()}
+    assert {r.rel for r in manifest.to_extract(hashed, stub, own).collect()} == {"x/A.PDF", "b.pdf", "c.pdf", "d.pdf"}
+    own.unregister(".pdf")
+    assert own.suffixes() == []
+    with pytest.raises(ValueError):
+        own.register("pdf", read)
+
+
+def test_long_transcripts_are_cut_in_one_pass():
+    text = "<!-- source: a -->\n" + "\n\n".join(f"## Page {i}\n\nbody {i}" for i in range(1, 2001))
+    cut = manifest.cut_at_unit(text, 1000)
+    assert len(cut) <= 1000 and cut.startswith("## Page 1\n\nbody 1\n\n## Page 2") and cut.endswith(manifest.MARKER)
+    last = int(cut.removesuffix(manifest.MARKER).rsplit(" ", 1)[1])
+    assert len(manifest.cut_at_unit(text, 1000)) + len(f"\n\n## Page {last + 1}\n\nbody {last + 1}") > 1000
+    assert manifest.cut_at_unit("## Page 1\n\n" + "x" * 90, 50) == "## Page 1\n\n" + "x" * 90 + manifest.MARKER and manifest.cut_at_unit("", 5) == ""
