@@ -166,3 +166,59 @@ def test_golds_are_all_documents_that_hold_a_text(spark, tmp_path):
     want = {(i, str(d)) for i, x in items for d, t in texts if t and x in t}
     got = [(r.query_id, r.source_path) for r in queries._golds(spark, str(tmp_path)).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def asked_of(served, method: str, **params) -> dict:
+    return served.reply(json.dumps({"jsonrpc": "2.0", "id": 7, "method": method, "params": params}))
+
+
+def tool_of(served, name: str, **arguments) -> dict:
+    made = asked_of(served, "tools/call", name=name, arguments=arguments)["result"]
+    assert json.loads(made["content"][0]["text"]) == made["structuredContent"] and made["isError"] == ("error" in made["structuredContent"])
+    return made["structuredContent"]
+
+
+def test_tool_server_messages():
+    import io
+
+    from quarry.server import Server
+
+    def none():
+        raise AssertionError("no project is opened for these")
+
+    served = Server(none)
+    assert asked_of(served, "initialize", protocolVersion="2024-11-05")["result"]["protocolVersion"] == "2024-11-05"
+    assert [t["name"] for t in asked_of(served, "tools/list")["result"]["tools"]] == ["search_domain_context", "index_project", "index_status"]
+    assert served.reply('{"jsonrpc": "2.0", "method": "notifications/initialized"}') is None
+    assert served.reply("{")["error"]["code"] == -32700 and served.reply("[]")["error"]["code"] == -32600
+    assert asked_of(served, "nothing")["error"]["code"] == -32601 and asked_of(served, "tools/call", name="x")["error"]["code"] == -32602
+    assert asked_of(served, "resources/read", uri="x")["error"]["code"] == -32002
+    assert "Task: a task\n" in asked_of(served, "prompts/get", name="ground_implementation", arguments={"task": " a task "})["result"]["messages"][0]["content"]["text"]
+    for wrong in ({"query": " "}, {"query": "x", "top_k": 0}, {"query": "x", "pool": 501}, {"query": "x", "snippet_lines": 201}, {"query": "x", "retriever": "none"}, {"query": "x", "weights": {"none": 1}}, {"query": "x", "more": 1}, {}):
+        assert tool_of(served, "search_domain_context", **wrong)["error_type"] in ("ValueError", "TypeError")
+    assert tool_of(served, "search_domain_context", query="x", retriever="lexical+ctx")["error_type"] == tool_of(served, "index_project", retriever="lexical+ctx")["error_type"] == "OptInRequired"
+    out = io.StringIO()
+    served.serve(io.StringIO('{"jsonrpc": "2.0", "id": 1, "method": "ping"}\n\n{"jsonrpc": "2.0", "id": 2, "method": "prompts/list"}\n'), out)
+    assert {json.loads(x)["id"] for x in out.getvalue().splitlines()} == {1, 2}
+
+
+def test_tool_server(spark, tmp_path):
+    from quarry.project import Project
+    from quarry.server import Server
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "b.md").write_text(PAGES["a/b.md"] + "\nand more")
+    served = Server(lambda: Project(spark, str(tmp_path / "src"), str(tmp_path / "store")))
+    # the lexical index is built when it is first asked for, others are named as missing
+    found = tool_of(served, "search_domain_context", query="packets routes", top_k=99, snippet_lines=2)
+    best = found["results"][0]
+    assert best["path"] == "b.md" and best["snippet"] == "# Paths\npackets find routes through networks" and best["truncated"] and best["rank"] == 1
+    assert found["retrievers"] == ["lexical"] and {s["name"] for s in found["skipped"]} == {"pi-serini", "treesitter"} and "pi-serini" in found["hint"]
+    # a build that runs: another is refused, searches build nothing
+    (tmp_path / "src" / "late.md").write_text("okapi")
+    with served._building:
+        assert tool_of(served, "index_project")["error_type"] == "BuildInProgress"
+        busy = tool_of(served, "search_domain_context", query="okapi", retriever="lexical", include_snippet=False)
+    assert busy["build_in_progress"] and busy["stale"] == ["lexical"] and all(h["path"] != "late.md" and h["snippet"] is None for h in busy["results"])
+    made = tool_of(served, "index_project", retriever="lexical")
+    assert made["ok"] and made["status"]["ready"] == ["lexical"] and made["status"]["strategies"][0]["files"] == 2 and "pi-serini" in made["status"]["recommendation"]
