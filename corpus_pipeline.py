@@ -19,7 +19,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts whose five-word shingles are linked by a Jaccard similarity of 0.8 or more, the one with the smallest doc_id stays."""
+    """Of texts whose five-word shingles are linked by a Jaccard similarity of 0.8 or more, the one with the smallest doc_id stays.
+
+    Links are looked for by SimHash and confirmed; an exact join finds those that fingerprints miss."""
     return simhash.representatives(docs)
 
 

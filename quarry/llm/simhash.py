@@ -5,12 +5,16 @@ differing bits; the same holds for the three parts of what is left, and once mor
 budget shares one of 27 keys of 45 bits or more, and a key's group, whatever the data, has at most 2^19 fingerprints. In a
 group the fingerprints are a binary trie: pairs of nodes are traversed together, the bits in which they differ add up, and
 a pair is pruned once it exceeds the budget.
+
+Operator 5 links at two bits. The pipeline's stage takes the same steps with a wider budget, and then confirms its pairs.
+There keys are three whole bytes, so groups are small: within five bits each pair of fingerprints shares one, beyond them
+a part of the pairs do.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,29 +22,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm import similar
 from quarry.llm.components import components
 from quarry.llm.shared import files_for, id_key, lean, partitions, rows_of, written
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
+#: The pipeline's stage: bits in which a candidate's fingerprints differ at most, and bytes of them that are equal at least.
+WIDE, BYTES = 10, 3
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
 #: Node pairs that are expanded at once.
 PAIRS = 1 << 18
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), CHUNK):
+        bits = np.unpackbits(hashes[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """Bit i is set if it is set in over half of the shingles' XXH64 values; no word gives zero."""
     words = text.lower().split()
     if not words:
         return 0
     parts = [words[k:] for k in range(shingle)] if len(words) >= shingle else [[b" ".join(words)]]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*parts, strict=False)), repeat(SEED)), np.uint64)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), CHUNK):
-        bits = np.unpackbits(hashes[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*parts, strict=False)), repeat(SEED)), np.uint64))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -72,13 +81,20 @@ def key_masks(levels: int = 3) -> np.ndarray:
     return np.array([sum(1 << b for b in chosen) for chosen in below(list(range(64)), levels)], np.uint64)
 
 
+def byte_masks(equal: int = BYTES) -> np.ndarray:
+    """The sets of so many whole bytes: any two fingerprints within 8 - equal bits share one."""
+    return np.array([sum(0xFF << 8 * i for i in chosen) for chosen in combinations(range(8), equal)], np.uint64)
+
+
 def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def trie_links(fps: np.ndarray, group: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a forest that joins all fingerprints of a group that are linked in it; rows are sorted by (group, fp)."""
-    root = np.arange(len(fps))
+def _trie(fps: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Of fingerprints that are sorted by (group, fp): the first one that each is linked to, directly or not, and the pairs
+    within the budget by which they were found, a forest."""
+    root, owner = np.arange(len(fps)), np.zeros(len(fps), np.int64)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
 
     def find(i: np.ndarray) -> np.ndarray:
         while not np.array_equal(up := root[i], i):
@@ -88,10 +104,14 @@ def trie_links(fps: np.ndarray, group: np.ndarray, budget: int = BUDGET) -> tupl
 
     def join(a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
-            a, b = find(a), find(b)
-            open_ = a != b
-            a, b = np.maximum(a[open_], b[open_]), np.minimum(a[open_], b[open_])
-            root[a] = b  # of links that share an end one holds; the others are tried again
+            x, y = find(a), find(b)
+            open_ = x != y
+            a, b, x, y = a[open_], b[open_], np.maximum(x[open_], y[open_]), np.minimum(x[open_], y[open_])
+            owner[x] = np.arange(len(x))
+            held = owner[x] == np.arange(len(x))  # of links that share an end one holds; the others are tried again
+            root[x[held]] = y[held]
+            pairs.append((a[held], b[held]))
+            a, b = a[~held], b[~held]
 
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(fps) else np.array([], np.int64)
     ends = np.r_[starts[1:], len(fps)]
@@ -109,6 +129,11 @@ def trie_links(fps: np.ndarray, group: np.ndarray, budget: int = BUDGET) -> tupl
     stack = [(s[k : k + PAIRS], e[k : k + PAIRS], s[k : k + PAIRS], e[k : k + PAIRS], np.zeros(len(s[k : k + PAIRS]), np.int64), 63) for k in range(0, len(s), PAIRS)]
     while stack:
         l1, h1, l2, h2, d, bit = stack.pop()
+        if 8 * len(l1) > len(fps):  # node pairs whose fingerprints are all linked by now are done
+            top = find(np.arange(len(fps)))
+            turns = np.r_[0, np.cumsum(top[1:] != top[:-1])]
+            apart = (turns[h1 - 1] != turns[l1]) | (turns[h2 - 1] != turns[l2]) | (top[l1] != top[l2])
+            l1, h1, l2, h2, d = (x[apart] for x in (l1, h1, l2, h2, d))
         one = (h1 - l1 == 1) & (h2 - l2 == 1)
         if one.any():  # two leaves: the rest of their bits at once
             a, b = l1[one], l2[one]
@@ -131,14 +156,25 @@ def trie_links(fps: np.ndarray, group: np.ndarray, budget: int = BUDGET) -> tupl
         keep = (h1 > l1) & (h2 > l2) & (d <= budget) & ~((l1 == l2) & (h1 - l1 == 1))
         l1, h1, l2, h2, d = (x[keep] for x in (l1, h1, l2, h2, d))
         stack += [(l1[k : k + PAIRS], h1[k : k + PAIRS], l2[k : k + PAIRS], h2[k : k + PAIRS], d[k : k + PAIRS], bit - 1) for k in range(0, len(l1), PAIRS)]
-    top = find(np.arange(len(fps)))
+    return find(np.arange(len(fps))), pairs
+
+
+def trie_links(fps: np.ndarray, group: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a forest that joins all fingerprints of a group that are linked in it; rows are sorted by (group, fp)."""
+    top, _ = _trie(fps, group, budget)
     linked = np.flatnonzero(top != np.arange(len(fps)))
     return linked, top[linked]
 
 
-def near_links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) that connect exactly what is within the budget."""
-    masks = key_masks()
+def trie_pairs(fps: np.ndarray, group: np.ndarray, budget: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
+    """The same forest by links that are themselves within the budget."""
+    _, pairs = _trie(fps, group, budget)
+    a, b = (np.concatenate([np.array([], np.int64), *x]) for x in (zip(*pairs, strict=True) if pairs else ([], [])))
+    return np.maximum(a, b), np.minimum(a, b)
+
+
+def _met(distinct: DataFrame, masks: np.ndarray, trie: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(a, b): what the trie links of distinct fingerprints (column fp) that share a mask's bits."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +190,7 @@ def near_links(distinct: DataFrame) -> DataFrame:
         def done(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
             order = np.lexsort((f, k))
             k, f = k[order], f[order]
-            a, b = trie_links(f, k)
+            a, b = trie(f, k)
             return pa.RecordBatch.from_arrays([pa.array(f[a].view(np.int64)), pa.array(f[b].view(np.int64))], ["a", "b"])
 
         for batch in batches:
@@ -172,6 +208,16 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return met.mapInArrow(lean(links), "a long, b long").distinct()
 
 
+def near_links(distinct: DataFrame) -> DataFrame:
+    """(a, b): links between distinct fingerprints (column fp) that connect exactly what is within the budget."""
+    return _met(distinct, key_masks(), trie_links)
+
+
+def near_pairs(distinct: DataFrame) -> DataFrame:
+    """(a, b): pairs of distinct fingerprints (column fp) within WIDE bits, a forest of those that share BYTES bytes."""
+    return _met(distinct, byte_masks(), trie_pairs)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """A row for each row of docs(doc_id, text, ...): doc_id, fingerprint (16 hex digits), component_id.
 
@@ -194,6 +240,8 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Null ids come after all others; rows that share the id go by their text's hash, and of wholly repeated ones any stays.
     """
+    from quarry.llm import similar  # which stands on this module
+
     few = files_for(docs.sparkSession, docs.count())
     rows = similar.groups(docs).groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("x"))

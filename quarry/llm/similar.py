@@ -1,12 +1,17 @@
-"""Texts whose five-word shingles have a Jaccard similarity of 0.8 or more: an exact set-similarity join.
+"""Texts whose five-word shingles have a Jaccard similarity of 0.8 or more: SimHash pairs, confirmed, and an exact join for
+the rest.
+
+Each set of shingles has a SimHash. Fingerprints that differ in few bits are paired by operator 5's tries, with a wider
+budget, and each pair is confirmed by whole sets. No budget of 64 bits holds all similar pairs, so what is still apart goes
+through an exact set-similarity join, and no link is lost.
 
 Under any one order of all shingles, two sets that are that similar share one of their first fifths. So sets meet by the
-shingles of their first fifth, frequent ones last in the order, and each candidate is confirmed by whole sets. Of a large
-group of copies, chains through each shingle's sets link most first; only sets that are still apart are then compared by
-pairs. Which shingles are frequent decides the order, never the result.
+shingles of their first fifth, frequent ones last in the order, and each candidate is confirmed by whole sets. A shingle
+whose sets are all linked by then is passed over. Of a large group of copies, chains through each shingle's sets link most
+first; only sets that are still apart are then compared by pairs. Which shingles are frequent decides the order, never the result.
 
-Before whole sets are fetched, fingerprints are compared: of each of FINGERPRINT buckets of hashes, whether the set has an
-odd number. A shingle that only one of two sets has turns one bit, so two fingerprints differ in no more bits than the sets
+Before whole sets are fetched, parities are compared: of each of FINGERPRINT buckets of hashes, whether the set has an
+odd number. A shingle that only one of two sets has turns one bit, so the parities of two sets differ in no more bits than the sets
 in shingles, and a pair beyond that budget is passed over without loss.
 """
 
@@ -22,6 +27,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.components import components
 from quarry.llm.shared import discard, files_for, lean, partitions, written
+from quarry.llm.simhash import majority, near_pairs
 
 SHINGLE = 5
 #: Frequent shingles that are ordered by their counts, and shingles that are counted at once in a task.
@@ -115,13 +121,13 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, set, text_hash, size, bits, keys) of each row: the set's identity, its fingerprint and the shingles of its
-    first fifth, in order."""
+    """(doc_id, set, text_hash, size, bits, fp, keys) of each row: the set's identity, its parities, its SimHash and the
+    shingles of its first fifth, in order."""
     known, counts = frequent(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, bits, keys = [], [], [], []
+            ids, sizes, bits, fps, keys = [], [], [], [], []
             for x in batch.column(1):
                 found = shingles(x.as_buffer().to_pybytes())
                 rank = np.zeros(len(found), np.int64)
@@ -132,12 +138,13 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 ids.append(identity(found))
                 sizes.append(len(found))
                 bits.append(fingerprint(found))
+                fps.append(majority(found))
                 keys.append(found[np.lexsort((found, rank))[:first]].view(np.int64))
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.array([], np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), batch.column(2), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), lists], ["doc_id", "set", "text_hash", "size", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), batch.column(2), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), lists], ["doc_id", "set", "text_hash", "size", "bits", "fp", "keys"])
 
-    return _texts(docs).withColumn("text_hash", text_hash(F.col("text"))).mapInArrow(lean(run), "doc_id long, set long, text_hash long, size int, bits binary, keys array<long>")
+    return _texts(docs).withColumn("text_hash", text_hash(F.col("text"))).mapInArrow(lean(run), "doc_id long, set long, text_hash long, size int, bits binary, fp long, keys array<long>")
 
 
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -203,12 +210,13 @@ def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates that follow each other among a key's sets in one of a few orders: (key, set, size, place) sorted by key."""
-    for key, set_, size, place in _by_key(batches):
+    """Candidates of different roots that follow each other among a key's sets in one of a few orders: (key, set, size,
+    place, root) sorted by key."""
+    for key, set_, size, place, root in _by_key(batches):
         for salt in range(CHAINS):
             order = np.lexsort((_mixed(set_.view(np.uint64), salt + 1), key))
             x, y = order[:-1], order[1:]
-            keep = key[x] == key[y]
+            keep = (key[x] == key[y]) & (root[x] != root[y])
             x, y = x[keep], y[keep]
             keep = _may((size[x], size[y]), (place[x], place[y]))
             yield _pairs(set_[x[keep]], set_[y[keep]])
@@ -253,8 +261,17 @@ def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _pairs(*map(np.concatenate, zip(*out, strict=True)))
 
 
+def simhash_pairs(classes: DataFrame, files: int) -> DataFrame:
+    """(a, b) of sets whose SimHashes are the same or near: each with the least set of its SimHash, those by tries."""
+    by_fp = written(classes.groupBy("fp").agg(F.min("set").alias("least")), "fingerprints", files)
+    same = classes.join(by_fp, "fp").where("set != least").select(F.col("least").alias("a"), F.col("set").alias("b"))
+    one, two = (by_fp.select(F.col("fp").alias(c), F.col("least").alias(f"of_{c}")) for c in "ab")
+    near = near_pairs(by_fp.select("fp")).join(one, "a").join(two, "b")
+    return same.union(near.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")))
+
+
 def near_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs(a, b) of sets that their fingerprints let be similar."""
+    """The pairs(a, b) of sets that their parities let be similar."""
     one, two = (classes.select(F.col("set").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,19 +310,28 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     rows = written(prefixes(docs), "prefixes")
     n, few = partitions(docs.sparkSession), files_for(docs.sparkSession, number := rows.count())
-    classes = written(rows.groupBy("set").agg(F.min("text_hash").alias("text_hash"), F.any_value("size").alias("size"), F.any_value("bits").alias("bits")), "sets", few)
+    classes = written(rows.groupBy("set").agg(F.min("text_hash").alias("text_hash"), *(F.any_value(c).alias(c) for c in ("size", "bits", "fp"))), "sets", few)
     keyed = rows.select("set", "size", "keys").mapInArrow(lean(packed(4 * n)), "bucket int, rows binary").repartition(n, "bucket")
     shared = written(keyed.select("rows").mapInArrow(lean(met), "key long, set long, size int, place int"), "shared", few)
     of = written(rows.select("doc_id", "set", "text_hash"), "sets", few)
     discard(rows)
-    chains = shared.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(chained), "a long, b long").distinct()
-    chains = written(near_enough(chains, classes), "pairs", few)
-    links = written(confirmed(chains, classes, docs), "similar", few)
-    roots = components(links, number)
-    rooted = shared.join(roots, shared["set"] == roots["node"], "left").select("key", "set", "size", "place", F.coalesce("root", "set").alias("root"))
-    unlike = written(rooted.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(divided), "key long, set long, size int, place int, root long"), "divided", few)
-    known = unlike.join(classes.select("set", "bits"), "set").select("key", "set", "size", "place", "root", "bits")
+
+    def split(shared: DataFrame, roots: DataFrame) -> DataFrame:
+        """The rows of the keys whose sets the roots leave apart."""
+        rooted = shared.join(roots, shared["set"] == roots["node"], "left").select("key", "set", "size", "place", F.coalesce("root", "set").alias("root"))
+        return written(rooted.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(divided), "key long, set long, size int, place int, root long"), "divided", few)
+
+    def joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(confirmed(pairs, classes, docs)), number)
+
+    near = written(near_enough(simhash_pairs(classes, few), classes), "pairs", few)
+    roots = components(confirmed(near, classes, docs), number)
+    unlike = split(shared, roots)
+    chains = unlike.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(chained), "a long, b long").distinct()
+    chains = written(near_enough(chains.join(near, ["a", "b"], "left_anti"), classes), "pairs", few)
+    roots = joined(roots, chains)
+    known = split(unlike.drop("root"), roots).join(classes.select("set", "bits"), "set").select("key", "set", "size", "place", "root", "bits")
     rest = known.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(apart), "a long, b long").distinct()
-    rest = written(rest.join(chains, ["a", "b"], "left_anti"), "pairs", few)
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(confirmed(rest, classes, docs)), number)
+    rest = written(rest.join(near.union(chains), ["a", "b"], "left_anti"), "pairs", few)
+    roots = joined(roots, rest)
     return of.join(roots, of["set"] == roots["node"], "left").select("doc_id", "set", "text_hash", F.coalesce("root", "set").alias("root"))

@@ -83,3 +83,49 @@ def test_fingerprints_lose_nothing():
 
 def test_threshold_is_exact():
     assert similar.similar(8, 9, 9) and not similar.similar(8, 9, 10) and similar.similar(4, 5, 4)
+
+
+def test_trie_pairs_are_near_and_a_forest():
+    rng, masks = random.Random(8), [int(m) for m in simhash.byte_masks()]
+    for budget in (2, 6, 10):
+        base = [rng.getrandbits(64) for _ in range(3)]
+        fps = sorted({b ^ sum(1 << x for x in rng.sample(range(64), rng.randrange(9))) for b in base for _ in range(40)})
+        a, b = simhash.trie_pairs(np.array(fps, np.uint64), np.zeros(len(fps), np.int64), budget)
+        near = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= budget]
+        pairs = list(zip(a.tolist(), b.tolist(), strict=True))
+        assert set(pairs) <= set(near) and near
+        roots = []
+        for links in (pairs, near):
+            root = list(range(len(fps)))
+            for i, j in links:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+            roots.append(root)
+        assert roots[0] == roots[1] and len(pairs) == len(fps) - len(set(roots[1]))  # as whole, without a link too many
+        assert all(any(fps[i] & m == fps[j] & m for m in masks) for i, j in near if (fps[i] ^ fps[j]).bit_count() <= 8 - simhash.BYTES)
+
+
+def test_near_dedup_links_by_simhash_first_and_the_rest_exactly(spark, monkeypatch):
+    rng = random.Random(12)
+    plain = [" ".join(f"w{rng.randrange(3000)}" for _ in range(200)) for _ in range(30)]
+    texts = [*plain, *(edited(rng, x, e) for x in plain for e in (1, 2, 6))]
+    docs = spark.createDataFrame([(i, x, "en") for i, x in enumerate(texts)], SCHEMA).repartition(3)
+    root = brute(texts)
+    number = {similar.identity(similar.shingles(x.encode())): i for i, x in enumerate(texts)}
+    # by SimHashes alone: pairs within the budget, most of the links
+    rows = similar.prefixes(docs).cache()
+    fps = {r.set: r.fp & (1 << 64) - 1 for r in rows.collect()}
+    for i, x in enumerate(texts):
+        hashes = similar.shingles(x.encode()).tolist()
+        assert fps[similar.identity(np.array(hashes, np.uint64))] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)), i
+    pairs = similar.simhash_pairs(rows, 1).collect()
+    assert pairs and all((fps[r.a] ^ fps[r.b]).bit_count() <= simhash.WIDE for r in pairs)
+    found = {(number[r.a], number[r.b]) for r in pairs}
+    assert sum(root[a] == root[b] for a, b in found) > len(plain)
+    # the stage uses them, and loses nothing without them
+    asked = []
+    real = similar.simhash_pairs
+    monkeypatch.setattr(similar, "simhash_pairs", lambda *given: asked.append(1) or real(*given))
+    assert {r.doc_id for r in simhash.representatives(docs).collect()} == set(root) and asked
+    monkeypatch.setattr(similar, "simhash_pairs", lambda *given: real(*given).where("false"))
+    assert {r.doc_id for r in simhash.representatives(docs).collect()} == set(root)
