@@ -1,8 +1,9 @@
 """Removal of passages that an earlier document has: recurring phrases, found everywhere by Aho-Corasick automata.
 
 A window is WINDOW consecutive words. Anchors tell where windows can recur: a window's anchor is the least hash of its
-runs of PHRASE words, so equal windows have equal anchors, and a document has a few anchors for each hundred words. Only
-windows whose anchor is in several documents are hashed and grouped; a window that is in several documents belongs to the
+runs of PHRASE words, so equal windows have equal anchors, and a document has a few anchors for each hundred words. Texts
+without an anchor that is in several documents are done where they are read; the others go on, compressed. Only windows
+whose anchor is in several documents are hashed and grouped; a window that is in several documents belongs to the
 one with the smallest doc_id. Runs of such windows are confirmed as passages, with their words, and go to the shards of
 documents that may hold them. Each shard compiles its passages' phrases into an automaton over words, streams all its
 documents through it, and grows each occurrence, word by word, as far as document and passage agree. Hashes only choose
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import partitions, written
+from quarry.llm.shared import discard, partitions, written
 
 WINDOW = 50
 #: Documents of a shard; those that hold no recurring anchor are done before their shard is looked at.
@@ -31,6 +32,8 @@ SHARD_DOCS = 2000
 HELD = 2_000_000
 #: Distinct words whose hashes a task keeps.
 KEPT = 300_000
+#: Marks for the documents that have a recurring anchor, at most: 8 MB. More documents share marks, and go on for nothing.
+MARKS = 1 << 26
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -83,6 +86,14 @@ def _words(x) -> list[bytes]:
     return x.as_buffer().to_pybytes().split() if x.is_valid else []
 
 
+def packed(text: bytes) -> bytes:
+    return len(text).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(text, asbytes=True)
+
+
+def unpacked(text: bytes) -> bytes:
+    return pa.decompress(text[8:], int.from_bytes(text[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _binary_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
@@ -107,37 +118,53 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def shard_of(shards: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")
+def shard_of(shards: int, doc_id: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(shards)).alias("shard")
+
+
+def marked(hits: DataFrame, size: int) -> np.ndarray:
+    """A byte for each eight marks: those of the documents of hits are set."""
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(size)) + 1
+    parts = hits.groupBy(F.bitmap_bucket_number(mark).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(mark)).alias("bits"))
+    out = np.zeros(size // 8, np.uint8)
+    for part, bits in parts.collect():
+        at = (part - 1) * len(bits)
+        out[at : at + len(bits)] = np.frombuffer(bits, np.uint8)[: len(out) - at]
+    return out
 
 
 def split_documents(docs: DataFrame, hits: DataFrame, shards: int, texts: bool) -> DataFrame:
-    """Documents without a recurring anchor, done; the others with their text and those anchors. Shard by shard."""
+    """Documents without a recurring anchor, done; the others with their packed text, and few that share their marks."""
+    size = min(MARKS, 1 << (16 * shards * SHARD_DOCS).bit_length())
+    marks = docs.sparkSession.sparkContext.broadcast(marked(hits, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sha, kept = [], [], []
-            hit = batch.column(2).is_valid()
-            for x, open_ in zip(batch.column(1), hit.to_pylist(), strict=True):
+            n, sha, text, kept = [], [], [], []
+            mark = batch.column(2).to_numpy()
+            open_ = (marks.value[mark >> 3] >> (mark & 7).astype(np.uint8) & 1 > 0) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for x, o in zip(batch.column(1), open_.tolist(), strict=True):
                 words = _words(x)
                 n.append(len(words))
-                sha.append(None if open_ else _sha(words))
-                kept.append(b" ".join(words).decode() if texts and not open_ else None)
-            text = pa.array([x if open_ else None for x, open_ in zip(batch.column(1).to_pylist(), hit.to_pylist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), text, batch.column(2), batch.column(3), pa.array(kept, pa.string())], ["doc_id", "n_words", "kept_sha256", "text", "anchors", "shard", "kept_text"])
+                sha.append(None if o else _sha(words))
+                text.append(packed(x.as_buffer().to_pybytes() if x.is_valid else b"") if o else None)
+                kept.append(b" ".join(words).decode() if texts and not o else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.binary()), pa.array(kept, pa.string())], ["doc_id", "n_words", "kept_sha256", "text", "kept_text"])
 
-    keyed = _binary_text(docs).withColumn("shard", shard_of(shards)).repartition(partitions(docs.sparkSession), "shard")
-    joined = keyed.join(hits, ["shard", "doc_id"], "left").sortWithinPartitions("shard").select("doc_id", "text", "anchors", "shard")
-    return joined.mapInArrow(run, "doc_id long, n_words long, kept_sha256 string, text binary, anchors array<long>, shard long, kept_text string")
+    read = _binary_text(docs).withColumn("mark", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
+    return read.mapInArrow(run, "doc_id long, n_words long, kept_sha256 string, text binary, kept_text string")
 
 
-def candidate_windows(candidates: DataFrame, window: int) -> DataFrame:
-    """(hash, shard, least, most): windows with a recurring anchor, with the smallest and largest id that has them.
+def candidate_windows(candidates: DataFrame, hits: DataFrame, window: int) -> DataFrame:
+    """(hash, least, most): windows with a recurring anchor, with the smallest and largest id of a shard that has them; most
+    is null where they are the same.
 
-    Candidates are stored shard by shard, so a window that all documents hold is about one row for each shard."""
+    Shards are dealt whole, so a window that all documents hold is about one row for each shard. A document's anchors come
+    before its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, found, of, at, held = WordHashes(), [], [], None, 0
+        doc, own, ahead = None, np.array([], np.uint64), []
 
         def counted() -> pa.RecordBatch:
             x, ids = np.concatenate(found), np.concatenate(of)
@@ -145,36 +172,50 @@ def candidate_windows(candidates: DataFrame, window: int) -> DataFrame:
             x, ids = x[order], ids[order]
             first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.array([], np.int64)
             last = np.r_[first[1:] - 1, len(x) - 1] if len(first) else first
-            return pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)), pa.array(np.full(len(first), at)), pa.array(ids[first]), pa.array(ids[last])], ["hash", "shard", "least", "most"])
+            return pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)), pa.array(ids[first]), pa.array(ids[last], mask=ids[first] == ids[last])], ["hash", "least", "most"])
 
         for batch in batches:
-            for doc, x, shard, anchor in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                if found and (shard != at or held > HELD):
+            ids, shard, text = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            anchor, begin = batch.column(2).fill_null(0).to_numpy().view(np.uint64), 0
+            for i in np.flatnonzero(text.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                new = np.concatenate([*ahead, anchor[begin:i]])
+                begin, ahead = i + 1, []
+                if len(new) or ids[i] != doc:  # else another row with the same id
+                    doc, own = ids[i], new
+                if not len(own):
+                    continue
+                if found and (shard[i] != at or held > HELD):
                     yield counted()
                     found, of, held = [], [], 0
-                h, at = hashes.of(_words(x)), shard
-                met = np.isin(anchors(h, window), anchor.values.to_numpy().view(np.uint64))
-                found.append(np.unique(runs(h, window)[met]))
-                of.append(np.full(len(found[-1]), doc, np.int64))
-                held += len(found[-1])
+                h, at = hashes.of(unpacked(text[i].as_py()).split()), shard[i]
+                if len(h) >= window:
+                    met = np.isin(anchors(h, window), own)
+                    found.append(np.unique(runs(h, window)[met]))
+                    of.append(np.full(len(found[-1]), doc, np.int64))
+                    held += len(found[-1])
+            ahead.append(anchor[begin:])
         if found:
             yield counted()
 
-    return candidates.select("doc_id", "text", "shard", "anchors").mapInArrow(run, "hash long, shard long, least long, most long")
+    none = F.lit(None)
+    rows = hits.select("doc_id", "shard", "anchor", none.cast("binary").alias("text")).unionByName(candidates.select("doc_id", "shard", none.cast("long").alias("anchor"), "text"))
+    dealt = rows.repartition(partitions(candidates.sparkSession), "shard").sortWithinPartitions("shard", "doc_id", F.col("text").isNotNull())
+    return dealt.mapInArrow(run, "hash long, least long, most long")
 
 
 def passages(owned: DataFrame, window: int) -> DataFrame:
     """(shard, owner, words): the runs of windows that belong to a document and that a shard may hold, with their words.
 
-    owned: owner, text, and wanted: the windows by shard."""
+    owned: owner, packed text, and wanted: the windows by shard, as the upper halves of their hashes. If another window of the
+    owner has such a half too, its words are here for nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             out = []
             for owner, x, shard, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                words = _words(x)
-                at = np.flatnonzero(np.isin(runs(hashes.of(words), window), wanted.values.to_numpy().view(np.uint64)))
+                words = unpacked(x.as_py()).split()
+                at = np.flatnonzero(np.isin(runs(hashes.of(words), window) >> np.uint64(32), wanted.values.to_numpy().view(np.uint32)))
                 cuts = np.flatnonzero(np.diff(at) > 1) + 1
                 out += [(shard, owner, b" ".join(words[part[0] : part[-1] + window])) for part in np.split(at, cuts) if len(part)]
             columns = list(zip(*out, strict=True)) or [[]] * 3
@@ -234,7 +275,7 @@ def scrubbed(candidates: DataFrame, found: DataFrame, window: int, texts: bool)
     def shard(docs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         automaton, out = Automaton(held["owner"].tolist(), held["words"].tolist(), window), []
         for doc, text in zip(docs["doc_id"], docs["text"], strict=True):
-            words = text.split()
+            words = unpacked(text).split()
             gone = automaton.covered(doc, words)
             kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
             out.append((doc, len(words), int(gone.sum()), _sha(kept)) + ((b" ".join(kept).decode(),) if texts else ()))
@@ -257,14 +298,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
     met = written(document_anchors(docs, window), "anchors")
     # a table of its own: both sides of the join are dealt anew, and an anchor of very many documents is split
     recurring = written(met.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "recurring")
-    hits = met.join(recurring, "anchor").select(shard_of(shards), "doc_id", "anchor").repartition(n, "shard").groupBy("shard", "doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    hits = written(met.join(recurring, "anchor").select("doc_id", shard_of(shards), "anchor"), "hits")
+    discard(met)
+    discard(recurring)
     split = written(split_documents(docs, hits, shards, texts), "split")
     done = split.where(F.col("text").isNull()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", *["kept_text"] * texts)
-    candidates = split.where(F.col("text").isNotNull())
+    candidates = split.where(F.col("text").isNotNull()).withColumn("shard", shard_of(shards))
     # both groupings stand on one exchange by the window
-    seen = candidate_windows(candidates, window).repartition(n, "hash").groupBy("hash", "shard").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    windows = candidate_windows(candidates, hits, window).repartition(n, "hash").select("hash", shard_of(shards, "least"), "least", F.coalesce("most", "least").alias("most"))
+    seen = windows.groupBy("hash", "shard").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     routes = seen.withColumn("owner", F.min("least").over(W.partitionBy("hash"))).where("most > owner")
-    wanted = routes.groupBy("owner", "shard").agg(F.collect_list("hash").alias("wanted"))
+    wanted = routes.groupBy("owner", "shard").agg(F.collect_list(F.shiftright("hash", 32).cast("int")).alias("wanted"))
     owners = candidates.select(F.col("doc_id").alias("owner"), "text")
     found = passages(wanted.join(owners, "owner"), window)
     return done.unionByName(scrubbed(candidates, found, window, texts))

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quarry.llm import edits, exact, language, licenses, mixing, packing, phrases, quality, simhash, token_counts
+from quarry.llm import edits, exact, language, licenses, mixing, packing, phrases, quality, shared, simhash, token_counts
 from quarry.llm.components import components
 from quarry.llm.vocabulary import default_path, encoded, pre_tokens, tokenizer
 
@@ -341,6 +341,29 @@ def test_substring_dedup_of_few_words(spark, monkeypatch):
     assert Counter(map(tuple, got)) == covered(rows, 8)
 
 
+def test_substring_dedup_deals_out_texts_that_may_repeat_only(spark, tmp_path, monkeypatch):
+    """Texts without a recurring passage are in no exchange, and tables that are read no more are gone."""
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: str(tmp_path))
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.randbytes(8).hex() for _ in range(500))) for i in range(300)]
+    rows += [(300 + i, rows[i][1]) for i in range(0, 40, 10)]
+
+    def dealt() -> int:
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    docs, before = spark.createDataFrame(rows, "doc_id long, text string"), dealt()
+    assert Counter(map(tuple, phrases.remove_repeats(docs).collect())) == covered(rows, 50)
+    assert dealt() - before < 0.3 * sum(len(x) for _, x in rows)
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"hits", "split"}
+
+
+def test_substring_dedup_with_shared_marks(docs, corpus, monkeypatch):
+    monkeypatch.setattr(phrases, "MARKS", 8)
+    assert Counter(map(tuple, phrases.remove_repeats(docs).collect())) == covered(corpus, 50)
+
+
 def test_license_scan(spark):
     mit = licenses.TEMPLATES["MIT"]
     altered = mit.replace("free of charge", "at no cost").replace("persons", "people")
