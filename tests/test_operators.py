@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import chunking, consolidation, dense, evaluation, lexical, syntax, tuning
+from quarry.operators import chunking, consolidation, dense, evaluation, lexical, scoring, syntax, tuning
 
 
 def one(spark, value, column, kind="string"):
@@ -280,3 +280,39 @@ def test_fused_top_is_that_of_whole_rankings(spark):
     ranks = lexical.placed(some, lexical.lexical_scores(index, asked), "bm25", "m").collect()
     whole = {(q, d): i for q, rows in by.items() for i, (d, *_) in enumerate(sorted(rows, key=lambda r: (-r[2], r[0])))}
     assert len(ranks) > 6 and all(r.m == whole[r.query_id, r.doc_idx] for r in ranks)
+
+
+def test_index_whose_rare_terms_are_dealt_out(spark):
+    """Few common terms: the others' postings go by term, and all weights and ranks are those of an index without such."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghij") + rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_idx long, text string").withColumn("docid", F.col("doc_idx").cast("string"))
+    asked = spark.createDataFrame([(i, texts[i][:40]) for i in range(6)], "query_id int, query string")
+    found = {}
+    for common in (0, 5, 1000):
+        index = lexical.LexicalIndex.of(docs, common=common)
+        weights = {(r.doc_idx, r.term): (r.tf, r.dl, r.df, round(r.w, 9)) for r in index.postings.collect()}
+        found[common] = weights, sorted((r.query_id, r["rank"], r.doc_idx, round(r.score, 9)) for r in lexical.lexical_search(index, asked, 7).collect())
+        for q, words in ((i, texts[i][:40]) for i in range(6)):
+            assert [(d, s) for i, _, d, s in found[common][1] if i == q] == [(d, round(s, 9)) for d, s in brute_lexical(texts, words)][:7]
+    assert found[0] == found[5] == found[1000]
+    for d, text in enumerate(texts):
+        assert {t: found[0][0][d, t][:2] for t in set(text.split())} == {t: (text.split().count(t), len(text.split())) for t in set(text.split())}
+
+
+def test_gaps_and_first_places():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        score, doc = rng.integers(0, 6, 40) / 2, rng.permutation(40)
+        order = np.lexsort((doc, -score))
+        edges = np.sort(rng.choice(40, rng.integers(1, 12), replace=False))
+        s, d = score[order][edges], doc[order][edges]
+        assert (scoring.gaps(s, d, score[order], doc[order]) == np.searchsorted(edges, np.arange(40), "left")).all()
+        best = scoring.Firsts(5, 3, 1)
+        query = rng.integers(0, 3, 40)
+        for a in range(0, 40, 9):
+            best.offer(query[a : a + 9], doc[a : a + 9], [score[a : a + 9]])
+            best.cut()
+        got = list(zip(*best.cut(), strict=True))
+        assert got == [x for q in range(3) for x in sorted(((q, d, s) for q2, d, s in zip(query, doc, score, strict=True) if q2 == q), key=lambda x: (-x[2], x[1]))[:5]]
+    assert list(scoring.slices(np.array([3, 0, 9, 1, 1, 0]), 4)) == [(0, 2), (2, 3), (3, 6)]
