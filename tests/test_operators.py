@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,12 @@ def test_chunks_of_a_table(spark):
     assert got == {("d_0", "T", "", "T", 1, 1), ("d_1", "T", "Part One", "x", 3, 4), ("g_0", "#bad", "", "#bad z", 1, 2)}
 
 
+def test_folds_take_few_texts_at_once():
+    texts = ["a" * chunking.BYTES, None, "b", "", "c" * (chunking.BYTES + 1), "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["doc_id", "text"])
+    assert [x.column(0).to_pylist() for x in chunking.few([batch])] == [[0, 1], [2, 3], [4], [5]]
+
+
 def test_context_of_the_chunk_before(spark):
     rows = [("d", "T", "", "First one! Second.", 0), ("d", "T", "H", "Next", 1), ("d", "T", "", "Last.", 2)]
     got = [r.contextualised for r in chunking.contextualised(spark.createDataFrame(rows, "doc_id string, doc_title string, heading string, text string, position int")).orderBy("position").collect()]
